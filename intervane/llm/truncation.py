@@ -72,7 +72,8 @@ def length_hazards(lengths: DataFrame, reach: int = 50, min_count: int = 3, alph
     )
     mean = F.col("expected") * F.col("at_risk")
     excess = F.col("n") * F.log(F.col("n") / mean) - F.col("n") + mean
-    tested = tested.withColumn("p", F.when(F.col("n") > mean, F.exp(-excess)).otherwise(1.0))
+    # one row per source, measure and distinct length, written once: it is read for the number of tests, the ranks and the verdicts
+    tested = cut_lineage(tested.withColumn("p", F.when(F.col("n") > mean, F.exp(-excess)).otherwise(1.0)))
     enough = F.col("n") >= min_count
     # a length with p above alpha passes at no rank, so only the few below it are ranked
     few = tested.filter((F.col("p") <= alpha) & enough).groupBy("p").agg(F.count("*").alias("ties"))
@@ -110,15 +111,16 @@ def length_limits(endings: DataFrame, min_incomplete: float = 0.25, **test: floa
     ``min_incomplete`` of the texts end broken or open is the length of a common
     complete message; both are dropped.
     """
-    found = length_hazards(endings, **test).filter("significant").select("source", "measure", "length", "n")
+    found = cut_lineage(length_hazards(endings, **test).filter("significant").select("source", "measure", "length", "n"))
     incomplete = F.col("ending").isin("broken", "open").cast("double")
     spoken = _with_limit(endings, found).filter("hit IS NOT NULL").groupBy("source", "hit").agg(F.count("*").alias("votes"), F.avg(incomplete).alias("share"))
     votes = spoken.select(F.col("source").alias("of"), "hit.measure", "hit.length", "votes", "share")
-    return (
+    kept = (
         found.join(votes, ["measure", "length"])
         .filter(F.col("source").eqNullSafe(F.col("of")) & (F.col("votes") * 2 >= F.col("n")) & (F.col("share") >= min_incomplete))
         .select("source", "measure", "length", "n")
     )
+    return cut_lineage(kept)
 
 
 def _last_lines(lengths_and_text: DataFrame) -> DataFrame:
