@@ -13,7 +13,8 @@ from intervane.session import cut_lineage
 
 #: What a limit may count. Bytes are UTF-8; the body follows the first blank line.
 MEASURES = ("chars", "bytes", "body_chars", "body_bytes")
-_TERMINALS = r"[.?!。！？…)]\z"
+_ENDS = tuple(".?!。！？…)")
+_TERMINALS = rf"[{''.join(_ENDS)}]\z"
 
 
 def _plain_line(line: Column) -> Column:
@@ -63,7 +64,9 @@ def length_hazards(lengths: DataFrame, reach: int = 50, min_count: int = 3, alph
     counts = _by_measure(lengths).groupBy("source", "measure", "length").agg(F.count("*").alias("n"))
     by = Window.partitionBy("source", "measure").orderBy("length")
     around = by.rangeBetween(-reach, reach)
-    risk = F.sum("n").over(by.rangeBetween(0, Window.unboundedFollowing))
+    # the total less the shorter ones: a frame without an upper end would be summed anew for every row
+    shorter = F.coalesce(F.sum("n").over(by.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    risk = F.sum("n").over(Window.partitionBy("source", "measure")) - shorter
     tested = (
         counts.withColumn("at_risk", risk)
         .withColumn("nearby", F.sum("n").over(around) - F.col("n"))
@@ -145,6 +148,9 @@ def common_lines(documents: DataFrame, short: int = 50, support: int = 3) -> Dat
     a footer. Lines seen at least ``support`` times in the whole collection
     count, and so do the names of all senders, with which messages are signed.
     """
+    def written(line: Column) -> Column:
+        return (line != "") & (F.char_length(line) < short) & ~F.substring(line, -1, 1).isin(*_ENDS)
+
     lines = (
         documents.filter("instr(text, '\n') > 0")
         .select(F.split("text", "\n", -1).alias("lines"))
