@@ -24,20 +24,23 @@ def is_data_line(line: Column) -> Column:
     return ~aside
 
 
-def _strict(line: Column) -> Column:
-    """Fields of a line by the exact quoting rule, whatever the reader made of it.
+_NAMES = ("seqname", "start", "end", "name")
+
+
+def _with_strict(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``strict``: the fields of the lines that were not read, by the exact quoting rule.
 
     Quoted stretches are cut out by one left-to-right replacement, so that the
-    cost stays linear for lines of any length.
+    cost stays linear for lines of any length. Steps are columns of their own,
+    which Spark then works out once.
     """
-    masked = F.regexp_replace(F.translate(line, _MARK, "x"), '"[^"]*"', _MARK)
-    bad = masked.contains('"') | masked.rlike(f"[^\t{_MARK}]{_MARK}|{_MARK}[^\t{_MARK}]")
-    count = F.length(masked) - F.length(F.replace(masked, F.lit("\t"), F.lit(""))) + 1
-    hidden = F.array_join(
-        F.transform(F.split(line, '"', -1), lambda piece, i: F.when(i % 2 == 1, F.translate(piece, "\t", " ")).otherwise(piece)),
-        '"',
-    )
-    widths = F.transform(F.slice(F.split(hidden, "\t", -1), 1, 4), F.length)
+    line = F.col("line")
+    odd = F.col("read").isNull()
+    hide = lambda piece, i: F.when(i % 2 == 1, F.translate(piece, "\t", " ")).otherwise(piece)
+    rows = rows.withColumn("masked", F.when(odd, F.regexp_replace(F.translate(line, _MARK, "x"), '"[^"]*"', _MARK)))
+    rows = rows.withColumn("hidden", F.when(odd, F.array_join(F.transform(F.split(line, '"', -1), hide), '"')))
+    rows = rows.withColumn("widths", F.transform(F.slice(F.split("hidden", "\t", -1), 1, 4), F.length))
+    masked, widths = F.col("masked"), F.col("widths")
 
     def field(i: int) -> Column:
         before = F.lit(1 + i)
@@ -47,33 +50,36 @@ def _strict(line: Column) -> Column:
         inside = F.replace(F.substring(value, F.lit(2), F.length(value) - 2), F.lit('""'), F.lit('"'))
         return F.when(value.startswith('"'), inside).otherwise(value)
 
-    return F.struct(
-        bad.alias("bad_quote"),
-        count.cast("int").alias("n_fields"),
-        *(field(i).alias(name) for i, name in enumerate(("seqname", "start", "end", "name"))),
+    strict = F.struct(
+        (masked.contains('"') | masked.rlike(f"[^\t{_MARK}]{_MARK}|{_MARK}[^\t{_MARK}]")).alias("bad_quote"),
+        (F.length(masked) - F.length(F.replace(masked, F.lit("\t"), F.lit(""))) + 1).cast("int").alias("n_fields"),
+        *(field(i).alias(name) for i, name in enumerate(_NAMES)),
     )
+    return rows.withColumn("strict", F.when(odd, strict)).drop("masked", "hidden", "widths")
 
 
-def _permissive(line: Column, n_columns: int) -> Column:
-    """``line`` read under the schema of ``n_columns`` fields; null unless it was read without loss.
+def _with_permissive(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``read``: the fields of the lines read permissively without loss.
 
-    A line counts as read without loss when the reader kept no corrupt text,
-    no quote stands in it and its typed fields spell the line again; every
-    other line goes to the exact rule.
+    A line is read under the explicit schema of its file. It counts as read
+    without loss when the reader kept no corrupt text, no quote stands in it and
+    its typed fields spell the line again; every other line goes to the exact rule.
     """
-    fourth = ", name STRING" * (n_columns == 4)
-    row = F.from_csv(line, f"seqname STRING, start BIGINT, end BIGINT{fourth}, raw STRING", _CSV)
-    typed = [row["seqname"], row["start"].cast("string"), row["end"].cast("string"), *([row["name"]] if n_columns == 4 else [])]
-    whole = row["raw"].isNull() & ~line.contains('"') & (row["start"] >= 0) & (row["end"] >= 0)
-    for value in typed:
-        whole = whole & value.isNotNull()
-    name = row["name"] if n_columns == 4 else F.lit(None).cast("string")
-    read = F.struct(
-        F.lit(False).alias("bad_quote"),
-        F.lit(n_columns).alias("n_fields"),
-        *(v.alias(n) for v, n in zip((*typed[:3], name), ("seqname", "start", "end", "name"), strict=True)),
-    )
-    return F.when(whole & (F.concat_ws("\t", *typed) == line), read)
+    line = F.col("line")
+    for n in _COUNTS:
+        fourth = ", name STRING" * (n == 4)
+        rows = rows.withColumn(f"row{n}", F.when(F.col("n_columns") == n, F.from_csv(line, f"seqname STRING, start BIGINT, end BIGINT{fourth}, raw STRING", _CSV)))
+    reads = []
+    for n in _COUNTS:
+        row = F.col(f"row{n}")
+        typed = [row["seqname"], row["start"].cast("string"), row["end"].cast("string"), *([row["name"]] if n == 4 else [])]
+        whole = row["raw"].isNull() & ~line.contains('"') & (row["start"] >= 0) & (row["end"] >= 0) & (F.concat_ws("\t", *typed) == line)
+        for value in typed:
+            whole = whole & value.isNotNull()
+        name = row["name"] if n == 4 else F.lit(None).cast("string")
+        read = F.struct(F.lit(False).alias("bad_quote"), F.lit(n).alias("n_fields"), *(v.alias(k) for v, k in zip((*typed[:3], name), _NAMES, strict=True)))
+        reads.append(F.when(whole, read))
+    return rows.withColumn("read", F.coalesce(*reads)).drop(*(f"row{n}" for n in _COUNTS))
 
 
 def _number(digits: Column) -> Column:
@@ -110,9 +116,8 @@ def parse_lines(lines: DataFrame, files: DataFrame, chrom_sizes: DataFrame) -> D
         .filter(is_data_line(F.col("line")))
         .join(files, "file_name", "left")
     )
-    line, wanted = F.col("line"), F.col("n_columns")
-    read = F.coalesce(*(F.when(wanted == n, _permissive(line, n)) for n in _COUNTS))
-    rows = rows.withColumn("read", read).withColumn("f", F.when(F.col("read").isNotNull(), F.col("read")).otherwise(_strict(line)))
+    wanted = F.col("n_columns")
+    rows = _with_strict(_with_permissive(rows)).withColumn("f", F.coalesce("read", "strict")).drop("read", "strict")
     rows = rows.withColumn("seq", F.col("f.seqname")).join(sizes, F.col("seq") == F.col("known"), "left")
     digits = "^[0-9]+\\z"
     start, end = _number(F.col("f.start")), _number(F.col("f.end"))
