@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from intervane.session import cut_lineage
+
 
 def bin_counts(cuts: DataFrame, tracks: DataFrame) -> DataFrame:
     """Distinct cuts per track and occupied bin: track_id, k (bin number), n.
@@ -78,7 +80,8 @@ def regular_series(cuts: DataFrame, tracks: DataFrame, max_fill: int = 5, shard_
     inside = Window.partitionBy("track_id", "shard").orderBy("k")
     near = lambda a, b: b["k"] - a["k"] <= max_fill + 1
     shard = F.expr(f"k div {shard_bins}")
-    knots = bin_counts(cuts, tracks).select("track_id", shard.alias("shard"), "k", F.struct("k", F.col("n").cast("double").alias("v")).alias("at"))
+    # one row per occupied bin, written once: knots, halos and the grid all come from it
+    knots = cut_lineage(bin_counts(cuts, tracks)).select("track_id", shard.alias("shard"), "k", F.struct("k", F.col("n").cast("double").alias("v")).alias("at"))
     here = F.col("at")
     prev = F.coalesce(F.lag("at").over(inside), F.col("left"))
     nxt = F.coalesce(F.lead("at").over(inside), F.col("right"))
