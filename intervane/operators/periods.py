@@ -10,63 +10,104 @@ from pyspark.sql import functions as F
 from intervane.operators.shards import running_before, shard_of
 
 
-def periods_and_gaps(
-    intervals: DataFrame, keys: Sequence[str] = ("sample", "seqname"), start: str = "start_", end: str = "end_", shard_width: int = 1 << 20
+def periods(
+    intervals: DataFrame,
+    keys: Sequence[str] = ("sample", "seqname"),
+    start: str = "start_",
+    end: str = "end_",
+    touching: bool = True,
+    sums: Sequence[str] = (),
+    shard_width: int = 1 << 20,
 ) -> DataFrame:
-    """Rows ``kind`` ('period' or 'gap'), the keys, ``start_``, ``end_``.
+    """Maximal stretches covered by the intervals of each entity: the keys, ``start_``, ``end_``, ``reach``, ``n`` and the ``sums``.
 
     Half-open intervals of one entity are sorted by start; an interval opens a
-    period when it starts after the running maximum of all earlier ends, so a
-    touching interval continues. Openings are counted cumulatively to label the
-    periods, which are then aggregated; the gap before a period lies between
-    that running maximum and its start.
+    period when it starts after the running maximum of all earlier ends (at or
+    after it, unless ``touching`` intervals continue a period). Openings are
+    counted cumulatively to label the periods, which are then aggregated.
+    ``reach`` is where the period before ended (null for the first), ``n`` the
+    number of intervals, and a column of ``sums`` is added up over them.
 
     An entity is cut into shards of ``shard_width`` start positions. Intervals
-    with equal starts are first reduced to the longest (partial aggregation
-    before the shuffle), which bounds a shard's rows by its width; running
-    maximum and label offset pass between shards through one row per shard.
+    with equal starts are first reduced to one row with the largest end (partial
+    aggregation before the shuffle), which bounds a shard's rows by its width;
+    running maximum and label offset pass between shards through one row per shard.
 
-    Defined cases: a null key or coordinate and an empty or reversed interval
-    are left out; repeated rows change nothing; extra columns are ignored;
-    an empty input gives an empty result.
+    A null key or coordinate and an empty or reversed interval are left out.
     """
-    keys = list(keys)
     cells = [f"k{i}" for i in range(len(keys))]
+    totals = [f"t{i}" for i in range(len(sums))]
+    add = lambda columns: [F.sum(c).alias(t) for c, t in zip(columns, ("n", *totals), strict=True)]
     spots = (
-        intervals.select(*(F.col(k).alias(c) for k, c in zip(keys, cells, strict=True)), F.col(start).cast("bigint").alias("s"), F.col(end).cast("bigint").alias("e"))
-        .dropna()
+        intervals.select(
+            *(F.col(k).alias(c) for k, c in zip(keys, cells, strict=True)),
+            F.col(start).cast("bigint").alias("s"),
+            F.col(end).cast("bigint").alias("e"),
+            F.lit(1).cast("bigint").alias("n"),
+            *(F.col(c).alias(t) for c, t in zip(sums, totals, strict=True)),
+        )
+        .dropna(subset=[*cells, "s", "e"])
         .filter("s < e")
         .groupBy(*cells, shard_of("s", shard_width).alias("shard"), "s")
-        .agg(F.max("e").alias("e"))
+        .agg(F.max("e").alias("e"), *add(("n", *totals)))
     )
     tops = running_before(spots.groupBy(*cells, "shard").agg(F.max("e").alias("top")), cells, "shard", F.max("top"), "carried")
     inside = Window.partitionBy(*cells, "shard").orderBy("s")
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.col("reach")
+    opens = reach.isNull() | (F.col("s") > reach if touching else F.col("s") >= reach)
     flagged = (
         spots.join(tops.drop("top"), [*cells, "shard"])
         .withColumn("reach", F.greatest(F.max("e").over(earlier), F.col("carried")))
-        .withColumn("opens", (F.col("reach").isNull() | (F.col("s") > F.col("reach"))).cast("bigint"))
+        .withColumn("opens", opens.cast("bigint"))
         .withColumn("local", F.sum("opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     )
     pieces = flagged.groupBy(*cells, "shard", "local").agg(
-        F.min("s").alias("s"), F.max("e").alias("e"), F.max("opens").alias("opens"), F.max(F.when(F.col("opens") == 1, F.col("reach"))).alias("reach")
+        F.min("s").alias("s"), F.max("e").alias("e"), F.max("opens").alias("opens"), F.max(F.when(F.col("opens") == 1, reach)).alias("reach"), *add(("n", *totals))
     )
-    offsets = running_before(pieces.groupBy(*cells, "shard").agg(F.sum("opens").alias("n")), cells, "shard", F.sum("n"), "offset")
-    periods = (
-        pieces.join(offsets.drop("n"), [*cells, "shard"])
+    offsets = running_before(pieces.groupBy(*cells, "shard").agg(F.sum("opens").alias("opened")), cells, "shard", F.sum("opened"), "offset")
+    labelled = (
+        pieces.join(offsets.drop("opened"), [*cells, "shard"])
         .groupBy(*cells, (F.col("local") + F.coalesce("offset", F.lit(0))).alias("label"))
-        .agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max("reach").alias("reach"))
+        .agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max("reach").alias("reach"), *add(("n", *totals)))
     )
-    return (
-        periods.select(
-            *cells,
-            F.explode(
-                F.array(
-                    F.struct(F.lit("period").alias("kind"), F.col("s"), F.col("e")),
-                    F.struct(F.lit("gap").alias("kind"), F.col("reach").alias("s"), F.col("s").alias("e")),
-                )
-            ).alias("x"),
-        )
-        .filter("x.s IS NOT NULL")
-        .select(F.col("x.kind").alias("kind"), *(F.col(c).alias(k) for k, c in zip(keys, cells, strict=True)), F.col("x.s").alias("start_"), F.col("x.e").alias("end_"))
+    names = [F.col(c).alias(k) for k, c in zip(keys, cells, strict=True)]
+    return labelled.select(*names, F.col("s").alias("start_"), F.col("e").alias("end_"), "reach", "n", *(F.col(t).alias(c) for c, t in zip(sums, totals, strict=True)))
+
+
+def periods_and_gaps(intervals: DataFrame, keys: Sequence[str] = ("sample", "seqname"), start: str = "start_", end: str = "end_", shard_width: int = 1 << 20) -> DataFrame:
+    """Rows ``kind`` ('period' or 'gap'), the keys, ``start_``, ``end_``: see :func:`periods`.
+
+    The gap before a period lies between the running maximum of all earlier ends
+    and the start of the period.
+
+    Defined cases: a null key or coordinate and an empty or reversed interval
+    are left out; repeated rows change nothing; extra columns are ignored;
+    an empty input gives an empty result.
+    """
+    both = F.array(
+        F.struct(F.lit("period").alias("kind"), F.col("start_").alias("s"), F.col("end_").alias("e")),
+        F.struct(F.lit("gap").alias("kind"), F.col("reach").alias("s"), F.col("start_").alias("e")),
+    )
+    rows = periods(intervals, keys, start, end, shard_width=shard_width).select(*keys, F.explode(both).alias("x")).filter("x.s IS NOT NULL")
+    return rows.select(F.col("x.kind").alias("kind"), *keys, F.col("x.s").alias("start_"), F.col("x.e").alias("end_"))
+
+
+def extended(intervals: DataFrame, keys: Sequence[str] = ("seqname",), padding: int = 10_000) -> DataFrame:
+    """Intervals widened by ``padding`` on both sides, cut at 0, and merged where they then overlap (touching ones stay apart)."""
+    wide = intervals.select(*keys, F.greatest(F.col("start_") - padding, F.lit(0)).alias("start_"), (F.col("end_") + padding).alias("end_"))
+    return periods(wide, keys, touching=False).select(*keys, "start_", "end_", F.col("n").alias("n_merged"))
+
+
+def merged(intervals: DataFrame, keys: Sequence[str] = ("seqname",), mean: str = "mean") -> DataFrame:
+    """Overlapping intervals (touching ones stay apart) as one, with the average of their ``mean``."""
+    rows = intervals.select(*keys, "start_", "end_", F.col(mean).alias("total"), F.col(mean).isNotNull().cast("bigint").alias("known"))
+    return periods(rows, keys, touching=False, sums=("total", "known")).select(
+        *keys, "start_", "end_", F.col("n").alias("n_merged"), F.try_divide("total", "known").alias("mean")
     )
+
+
+def covered_fraction(intervals: DataFrame) -> DataFrame:
+    """One row: summed interval lengths, summed reach of the sequences (largest end of each), and their ratio."""
+    per_sequence = intervals.groupBy("seqname").agg(F.sum(F.col("end_") - F.col("start_")).alias("length"), F.max("end_").alias("reach"))
+    return per_sequence.agg(F.sum("length").alias("covered"), F.sum("reach").alias("reach")).withColumn("fraction", F.try_divide("covered", "reach"))

@@ -24,3 +24,40 @@ def running_before(per_shard: DataFrame, keys: list[str], shard: str, value: Col
     earlier = Window.partitionBy(*keys).orderBy(shard).rowsBetween(Window.unboundedPreceding, -1)
     return per_shard.withColumn(name, value.over(earlier))
 
+
+def running_total(rows: DataFrame, keys: list[str], position: str, value: str, name: str, width: int = 1 << 20) -> DataFrame:
+    """``rows`` (one per entity and position) with the sum of ``value`` up to each position.
+
+    Prefix sums within shards, shifted by the sums of the shards before, which are
+    worked out on one row per shard.
+    """
+    rows = rows.withColumn("__shard", shard_of(position, width))
+    inside = Window.partitionBy(*keys, "__shard").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    sums = running_before(rows.groupBy(*keys, "__shard").agg(F.sum(value).alias("__sum")), keys, "__shard", F.sum("__sum"), "__shift")
+    out = rows.withColumn("__upto", F.sum(value).over(inside)).join(sums.drop("__sum"), [*keys, "__shard"])
+    return out.withColumn(name, F.col("__upto") + F.coalesce("__shift", F.lit(0))).drop("__shard", "__upto", "__shift")
+
+
+def with_neighbours(rows: DataFrame, keys: list[str], position: str, width: int = 1 << 20) -> DataFrame:
+    """``rows`` (one per entity and position) with ``before`` and ``after``: the nearest positions of the entity.
+
+    Within a shard they are the neighbouring rows; at its edges the last position
+    of the occupied shard before and the first of the one after.
+    """
+    rows = rows.withColumn("__shard", shard_of(position, width))
+    inside = Window.partitionBy(*keys, "__shard").orderBy(position)
+    order = Window.partitionBy(*keys).orderBy("__shard")
+    edges = rows.groupBy(*keys, "__shard").agg(F.min(position).alias("__first"), F.max(position).alias("__last"))
+    edges = edges.select(*keys, "__shard", F.lag("__last").over(order).alias("__left"), F.lead("__first").over(order).alias("__right"))
+    return (
+        rows.join(edges, [*keys, "__shard"])
+        .withColumn("before", F.coalesce(F.lag(position).over(inside), F.col("__left")))
+        .withColumn("after", F.coalesce(F.lead(position).over(inside), F.col("__right")))
+        .drop("__shard", "__left", "__right")
+    )
+
+
+def with_halo(rows: DataFrame, position: str, reach: int, width: int = 1 << 20) -> DataFrame:
+    """``rows`` in every shard within ``reach`` of them: ``shard``, and ``own`` for the one they belong to."""
+    lowest, highest = shard_of(F.col(position) - reach, width), shard_of(F.col(position) + reach, width)
+    return rows.withColumn("shard", F.explode(F.sequence(lowest, highest))).withColumn("own", F.col("shard") == shard_of(position, width))
