@@ -10,27 +10,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from intervane.operators.periods import periods
+from intervane.operators.range_join import points_in_intervals
 from intervane.operators.shards import with_halo
 
 
-def kernel_sums(locations: np.ndarray, weights: np.ndarray, low: int, high: int, bandwidth: float, step: int, cutoff: int) -> tuple[np.ndarray, np.ndarray]:
-    """Grid positions (multiples of ``step`` in ``low..high-1``) near data, and their sums of Gaussian kernels per 100 positions.
+def kernel_sums(locations: np.ndarray, weights: Sequence[np.ndarray], low: int, high: int, bandwidth: float, step: int, cutoff: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Grid positions (multiples of ``step`` in ``low..high-1``) near data, and for each of the ``weights`` their sums of Gaussian kernels per 100 positions.
 
     One pass per grid offset within the cut-off, each vectorised over all locations.
     """
+    low, high = max(low, int(locations.min()) - cutoff), min(high, int(locations.max()) + cutoff + 1)
     first = -(-low // step)
-    cells = (high - 1) // step - first + 1
-    sums, near = np.zeros(max(cells, 0)), np.zeros(max(cells, 0), dtype=bool)
+    cells = max((high - 1) // step - first + 1, 0)
+    sums, near = [np.zeros(cells) for _ in weights], np.zeros(cells, dtype=bool)
     base = locations // step
     for j in range(-(cutoff // step) - 1, cutoff // step + 2):
         cell = base + j
         distance = cell * step - locations
         inside = (np.abs(distance) <= cutoff) & (cell >= first) & (cell < first + cells)
         at = cell[inside] - first
-        sums += np.bincount(at, weights[inside] * np.exp(-0.5 * (distance[inside] / bandwidth) ** 2), minlength=len(sums))
+        kernel = np.exp(-0.5 * (distance[inside] / bandwidth) ** 2)
+        for total, weight in zip(sums, weights, strict=True):
+            total += np.bincount(at, weight[inside] * kernel, minlength=cells)
         near[at] = True
     hit = np.flatnonzero(near)
-    return (hit + first) * step, sums[hit] * 100 / (bandwidth * np.sqrt(2 * np.pi))
+    return (hit + first) * step, [total[hit] * 100 / (bandwidth * np.sqrt(2 * np.pi)) for total in sums]
 
 
 def density(events: DataFrame, keys: Sequence[str] = ("seqname",), bandwidth: float = 200.0, step: int = 10, cutoff: int | None = None, shard_width: int = 1 << 18) -> DataFrame:
@@ -55,7 +59,7 @@ def density(events: DataFrame, keys: Sequence[str] = ("seqname",), bandwidth: fl
 
     def smooth(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         low = int(key[-1]) * shard_width
-        at, value = kernel_sums(frame["at"].to_numpy(), frame["n"].to_numpy(), low, low + shard_width, bandwidth, step, cutoff)
+        at, (value,) = kernel_sums(frame["at"].to_numpy(), [frame["n"].to_numpy()], low, low + shard_width, bandwidth, step, cutoff)
         out = pd.DataFrame({c: [v] * len(at) for c, v in zip(cells, key, strict=False)})
         return out.assign(location=at, density=value)
 
@@ -64,6 +68,52 @@ def density(events: DataFrame, keys: Sequence[str] = ("seqname",), bandwidth: fl
     return smoothed.select(*(F.col(c).alias(k) for k, c in zip(keys, cells, strict=True)), "location", "density")
 
 
+def two_densities(events: DataFrame, bandwidth: float = 200.0, step: int = 10, cutoff: int | None = None, shard_width: int = 1 << 18) -> DataFrame:
+    """Densities of two tracks on a shared grid: seqname, location, interval_start, interval_end, c1, c2, n_c1, n_c2.
+
+    ``events``: seqname, location, track ('c1' or 'c2'). The grid holds the positions
+    within the cut-off of an event of either track, and a track without events near
+    one is 0 there. An interval is a stretch of the grid without holes; since a hole
+    is a gap between events, intervals come from the events and not from the grid.
+    n_c1 and n_c2 are the events at or after a position and before the next. Both
+    tracks are summed in one pass over each shard (see :func:`density`).
+    """
+    cutoff = int(5 * bandwidth) if cutoff is None else cutoff
+    number = lambda c: F.count(F.when(F.col("track") == c, 1)).cast("double").alias(f"n_{c}")
+    spots = events.filter(F.col("track").isin("c1", "c2")).dropna(subset=["seqname", "location"]).groupBy("seqname", F.col("location").cast("bigint").alias("at")).agg(number("c1"), number("c2"))
+    first, last = F.ceil((F.col("at") - cutoff) / step) * step, F.floor((F.col("at") + cutoff) / step) * step
+    reached = periods(spots.select("seqname", first.alias("start_"), (last + step).alias("end_")), ("seqname",))
+    stretches = reached.select("seqname", F.col("start_"), (F.col("end_") - step).alias("end_"))
+    located = points_in_intervals(spots, stretches, location="at").select("seqname", "at", "n_c1", "n_c2", F.col("i_start_").alias("a"), F.col("i_end_").alias("b"))
+    halo = with_halo(located, "at", cutoff, shard_width).drop("own")
+
+    def smooth(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        low = int(key[1]) * shard_width
+        at, counts = frame["at"].to_numpy(), [frame[c].to_numpy() for c in ("n_c1", "n_c2")]
+        grid, (c1, c2) = kernel_sums(at, counts, low, low + shard_width, bandwidth, step, cutoff)
+        starts, where = np.unique(frame["a"].to_numpy(), return_index=True)
+        interval = np.searchsorted(starts, grid, "right") - 1
+        cell = np.searchsorted(grid, at // step * step)
+        mine = (at >= low) & (at < low + shard_width) & (cell < len(grid))
+        mine[mine] = grid[cell[mine]] == at[mine] // step * step
+        hits = [np.bincount(cell[mine], n[mine], minlength=len(grid)).astype(np.int64) for n in counts]
+        return pd.DataFrame(
+            {
+                "seqname": key[0],
+                "location": grid,
+                "interval_start": starts[interval],
+                "interval_end": frame["b"].to_numpy()[where][interval],
+                "c1": c1,
+                "c2": c2,
+                "n_c1": hits[0],
+                "n_c2": hits[1],
+            }
+        )
+
+    schema = "seqname STRING, location BIGINT, interval_start BIGINT, interval_end BIGINT, c1 DOUBLE, c2 DOUBLE, n_c1 BIGINT, n_c2 BIGINT"
+    return halo.groupBy("seqname", "shard").applyInPandas(smooth, schema)
+
+
 def dense_intervals(events: DataFrame, keys: Sequence[str] = ("seqname",), threshold: float = 2.0, padding: int = 10_000, **kernel: float) -> DataFrame:
     """Intervals around the grid positions whose density exceeds ``threshold``: the keys, ``start_``, ``end_``, ``n_positions``.
 

@@ -29,7 +29,7 @@ def target_fractions(totals: DataFrame, fraction_in_peaks: float = 0.5) -> DataF
 
 def signal_bounds(signal: DataFrame, track: str, fraction: float) -> DataFrame:
     """The value of ``track`` that the share ``fraction`` of all cuts exceeds: one row, ``quantile``. ``signal`` has n_cuts per position."""
-    return weighted_quantile(signal.withColumn("__all", F.lit(1)), ["__all"], track, "n_cuts", 1 - fraction).select("quantile")
+    return weighted_quantile(signal.filter("n_cuts > 0").withColumn("__all", F.lit(1)), ["__all"], track, "n_cuts", 1 - fraction).select("quantile")
 
 
 def peak_flag(raw: Column, bound: Column, smooth: Column | None = None) -> Column:
@@ -44,15 +44,12 @@ def islands(track: DataFrame, value: str, flag: Column, keys: Sequence[str] = ("
     ``summit`` is the first position of its largest value.
     """
     half = step // 2
-    marked = track.filter(flag).select(*keys, "location", value)
-    found = periods(marked.withColumn("end_", F.col("location") + step), keys, start="location", end="end_").select(
-        *keys, F.col("start_"), (F.col("end_") - step).alias("end_")
-    )
-    inside = points_in_intervals(marked, found, keys)
-    best = F.max(F.struct(F.col(value).alias("v"), (-F.col("location")).alias("back")))
-    peaks = inside.groupBy(*keys, "i_start_", "i_end_").agg(F.avg(value).alias("mean"), best.alias("best"))
-    start, end = F.col("i_start_") - half, F.col("i_end_") + half
-    return peaks.select(*keys, start.alias("start_"), end.alias("end_"), "mean", (-F.col("best.back")).alias("summit"), (end - start).alias("length"))
+    best = F.struct(F.col(value).alias("v"), (-F.col("location")).alias("back"))
+    marked = track.filter(flag).select(*keys, "location", (F.col("location") + step).alias("end_"), F.col(value).alias("total"), best.alias("best"))
+    found = periods(marked, keys, start="location", end="end_", sums=("total",), tops=("best",))
+    start, end = F.col("start_") - half, F.col("end_") - step + half
+    mean = F.col("total") / F.col("n")
+    return found.select(*keys, start.alias("start_"), end.alias("end_"), mean.alias("mean"), (-F.col("best.back")).alias("summit"), (end - start).alias("length"))
 
 
 def named(peaks: DataFrame, prefix: Column, keys: Sequence[str] = ("seqname",)) -> DataFrame:

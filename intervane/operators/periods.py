@@ -17,16 +17,18 @@ def periods(
     end: str = "end_",
     touching: bool = True,
     sums: Sequence[str] = (),
+    tops: Sequence[str] = (),
     shard_width: int = 1 << 20,
 ) -> DataFrame:
-    """Maximal stretches covered by the intervals of each entity: the keys, ``start_``, ``end_``, ``reach``, ``n`` and the ``sums``.
+    """Maximal stretches covered by the intervals of each entity: the keys, ``start_``, ``end_``, ``reach``, ``n``, the ``sums`` and the ``tops``.
 
     Half-open intervals of one entity are sorted by start; an interval opens a
     period when it starts after the running maximum of all earlier ends (at or
     after it, unless ``touching`` intervals continue a period). Openings are
     counted cumulatively to label the periods, which are then aggregated.
     ``reach`` is where the period before ended (null for the first), ``n`` the
-    number of intervals, and a column of ``sums`` is added up over them.
+    number of intervals, a column of ``sums`` is added up over them, and of one of
+    ``tops`` the largest value is kept.
 
     An entity is cut into shards of ``shard_width`` start positions. Intervals
     with equal starts are first reduced to one row with the largest end (partial
@@ -36,43 +38,43 @@ def periods(
     A null key or coordinate and an empty or reversed interval are left out.
     """
     cells = [f"k{i}" for i in range(len(keys))]
-    totals = [f"t{i}" for i in range(len(sums))]
-    add = lambda columns: [F.sum(c).alias(t) for c, t in zip(columns, ("n", *totals), strict=True)]
+    totals, largest = [f"t{i}" for i in range(len(sums))], [f"x{i}" for i in range(len(tops))]
+    add = [*(F.sum(c).alias(c) for c in ("n", *totals)), *(F.max(c).alias(c) for c in largest)]
     spots = (
         intervals.select(
             *(F.col(k).alias(c) for k, c in zip(keys, cells, strict=True)),
             F.col(start).cast("bigint").alias("s"),
             F.col(end).cast("bigint").alias("e"),
             F.lit(1).cast("bigint").alias("n"),
-            *(F.col(c).alias(t) for c, t in zip(sums, totals, strict=True)),
+            *(F.col(c).alias(t) for c, t in zip((*sums, *tops), (*totals, *largest), strict=True)),
         )
         .dropna(subset=[*cells, "s", "e"])
         .filter("s < e")
         .groupBy(*cells, shard_of("s", shard_width).alias("shard"), "s")
-        .agg(F.max("e").alias("e"), *add(("n", *totals)))
+        .agg(F.max("e").alias("e"), *add)
     )
-    tops = running_before(spots.groupBy(*cells, "shard").agg(F.max("e").alias("top")), cells, "shard", F.max("top"), "carried")
+    reached = running_before(spots.groupBy(*cells, "shard").agg(F.max("e").alias("top")), cells, "shard", F.max("top"), "carried")
     inside = Window.partitionBy(*cells, "shard").orderBy("s")
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     reach = F.col("reach")
     opens = reach.isNull() | (F.col("s") > reach if touching else F.col("s") >= reach)
     flagged = (
-        spots.join(tops.drop("top"), [*cells, "shard"])
+        spots.join(reached.drop("top"), [*cells, "shard"])
         .withColumn("reach", F.greatest(F.max("e").over(earlier), F.col("carried")))
         .withColumn("opens", opens.cast("bigint"))
         .withColumn("local", F.sum("opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     )
     pieces = flagged.groupBy(*cells, "shard", "local").agg(
-        F.min("s").alias("s"), F.max("e").alias("e"), F.max("opens").alias("opens"), F.max(F.when(F.col("opens") == 1, reach)).alias("reach"), *add(("n", *totals))
+        F.min("s").alias("s"), F.max("e").alias("e"), F.max("opens").alias("opens"), F.max(F.when(F.col("opens") == 1, reach)).alias("reach"), *add
     )
     offsets = running_before(pieces.groupBy(*cells, "shard").agg(F.sum("opens").alias("opened")), cells, "shard", F.sum("opened"), "offset")
     labelled = (
         pieces.join(offsets.drop("opened"), [*cells, "shard"])
         .groupBy(*cells, (F.col("local") + F.coalesce("offset", F.lit(0))).alias("label"))
-        .agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max("reach").alias("reach"), *add(("n", *totals)))
+        .agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max("reach").alias("reach"), *add)
     )
     names = [F.col(c).alias(k) for k, c in zip(keys, cells, strict=True)]
-    return labelled.select(*names, F.col("s").alias("start_"), F.col("e").alias("end_"), "reach", "n", *(F.col(t).alias(c) for c, t in zip(sums, totals, strict=True)))
+    return labelled.select(*names, F.col("s").alias("start_"), F.col("e").alias("end_"), "reach", "n", *(F.col(t).alias(c) for c, t in zip((*sums, *tops), (*totals, *largest), strict=True)))
 
 
 def periods_and_gaps(intervals: DataFrame, keys: Sequence[str] = ("sample", "seqname"), start: str = "start_", end: str = "end_", shard_width: int = 1 << 20) -> DataFrame:

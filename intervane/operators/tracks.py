@@ -68,28 +68,26 @@ def smoothed(track: DataFrame, keys: Sequence[str], values: Sequence[str], width
         raise ArgumentError("the smoothing width must be at least the span")
     weights = gaussian_weights(sigma)
     reach = len(weights) // 2
-    keys, values = list(keys), list(values)
-    columns = [*keys, "interval_start", "interval_end", "location", *values]
-    halo = with_halo(track.select(*columns), "location", 2 * reach * span, shard_width)
+    columns = track.columns
+    halo = with_halo(track, "location", 2 * reach * span, shard_width)
 
     def smooth(frame: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for (a, b), piece in frame.sort_values("location").groupby(["interval_start", "interval_end"], sort=False):
-            if not piece["own"].any():
-                continue
-            at = ((piece["location"].to_numpy() - a) // span).astype(np.int64)
-            n = int((b - a) // span) + 1
-            wanted = np.flatnonzero(piece["own"].to_numpy())
-            index = at[wanted][:, None] + np.arange(-reach, reach + 1)[None, :]
-            index = np.mod(index, 2 * n)
-            index = np.where(index < n, index, 2 * n - 1 - index) - at[0]
-            out = piece.iloc[wanted][columns].copy()
-            for v in values:
-                out[f"{v}_smooth"] = piece[v].to_numpy()[index] @ weights
-            parts.append(out)
-        return pd.concat(parts) if parts else pd.DataFrame(columns=[*columns, *(f"{v}_smooth" for v in values)])
-
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in track.select(*columns).schema), *(f"{v}_smooth DOUBLE" for v in values)])
+        frame = frame.sort_values("location", ignore_index=True)
+        own, location = frame["own"].to_numpy(), frame["location"].to_numpy()
+        begin, finish = frame["interval_start"].to_numpy(), frame["interval_end"].to_numpy()
+        out = {f"{v}_smooth": np.zeros(len(frame)) for v in values}
+        cuts = np.flatnonzero(np.diff(begin)) + 1
+        for lo, hi in zip(np.append(0, cuts), np.append(cuts, len(frame)), strict=True):
+            wanted = np.flatnonzero(own[lo:hi])
+            if len(wanted):
+                n, at = int((finish[lo] - begin[lo]) // span) + 1, (location[lo:hi] - begin[lo]) // span
+                index = np.mod(np.arange(at[wanted[0]] - reach, at[wanted[-1]] + reach + 1), 2 * n)
+                index = np.where(index < n, index, 2 * n - 1 - index) - at[0]
+                for v in values:
+                    out[f"{v}_smooth"][lo + wanted[0] : lo + wanted[-1] + 1] = np.convolve(frame[v].to_numpy()[lo:hi][index], weights, "valid")
+        return frame[columns].assign(**out)[own]
+
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in track.schema), *(f"{v}_smooth DOUBLE" for v in values)])
     return halo.groupBy(*keys, "shard").applyInPandas(smooth, schema)
 
 

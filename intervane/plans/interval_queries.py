@@ -12,7 +12,7 @@ from intervane.functions.regions import read_region, region_column
 from intervane.operators import annotation, coverage, deconvolution, density, fragments, packages, peaks, periods, range_join, tracks
 from intervane.plans import pipelines
 from intervane.plans.interval_sql import SQL  # noqa: F401
-from intervane.session import cut_lineage, table
+from intervane.session import cut_lineage, table, written
 
 QUERIES = {}
 
@@ -198,11 +198,11 @@ def _events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _tracks(spark: SparkSession, folder: str) -> DataFrame:
-    return cut_lineage(pipelines.two_tracks(_events(spark, folder), PEAKS))
+    return written(pipelines.two_tracks(_events(spark, folder), PEAKS))
 
 
 def _marked(spark: SparkSession, folder: str) -> DataFrame:
-    return cut_lineage(pipelines.marked_tracks(_tracks(spark, folder), PEAKS))
+    return written(pipelines.marked_tracks(_tracks(spark, folder), PEAKS))
 
 
 def _peaks(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -261,7 +261,8 @@ def peak_summits(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def overlap_report(spark: SparkSession, folder: str) -> DataFrame:
     marked = _marked(spark, folder)
-    report = peaks.overlap_report(*_peaks(marked), marked)
+    # every grid position of a peak is flagged, so positions of an overlap are flagged in both tracks
+    report = peaks.overlap_report(*_peaks(marked), marked.filter("c1_peak AND c2_peak"))
     return rounded(report, "c1_fraction", "c2_fraction", "mean_c1", "mean_c2", "distance", "log_ratio", "log_ratio_corrected", "callability")
 
 

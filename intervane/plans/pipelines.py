@@ -11,7 +11,7 @@ from intervane.operators import density as kde
 from intervane.operators import fragments as frag
 from intervane.operators import packages as pack
 from intervane.operators import peaks as pk
-from intervane.operators.periods import extended, periods
+from intervane.operators.periods import extended
 from intervane.operators.range_join import points_in_intervals
 from intervane.operators.tracks import smoothed
 from intervane.session import cut_lineage
@@ -33,7 +33,7 @@ def prepared_events(fragments: DataFrame, blacklist: DataFrame, cfg: PrepConfig)
 def prepare(fragments: DataFrame, blacklist: DataFrame, cfg: PrepConfig | None = None) -> DataFrame:
     """Work packages with their memory and chunk: dense regions, widened, merged, divided and packed."""
     cfg = cfg or PrepConfig()
-    events = prepared_events(fragments, blacklist, cfg)
+    events = cut_lineage(prepared_events(fragments, blacklist, cfg).select("seqname", "location"))
     dense = kde.dense_intervals(events, threshold=cfg.threshold, padding=cfg.selection_padding, bandwidth=cfg.bandwidth)
     regions = cut_lineage(extended(dense, padding=cfg.region_padding))
     reaches = tuple(covariance(c).reach(cfg.sparsity_threshold) for c in (cfg.c1_cov, cfg.c2_cov))
@@ -49,23 +49,7 @@ def two_tracks(events: DataFrame, cfg: PeakConfig | None = None) -> DataFrame:
     holes; n_c1 and n_c2 are the cuts at or after a position and before the next.
     """
     cfg = cfg or PeakConfig()
-    usable = events.filter(F.col("track").isin("c1", "c2") & F.col("seqname").isNotNull() & F.col("location").isNotNull()).select("seqname", "location", "track")
-    signal = kde.density(usable, ("track", "seqname"), cfg.bandwidth, cfg.span)
-    at = (F.floor(F.col("location") / cfg.span) * cfg.span).alias("location")
-    counts = usable.groupBy("track", "seqname", at).agg(F.count("*").alias("n"))
-    zero = F.lit(0.0)
-    pick = lambda c, v: F.sum(F.when(F.col("track") == c, F.col(v)).otherwise(0))
-    both = (
-        signal.select("track", "seqname", "location", "density", F.lit(0).cast("bigint").alias("n"))
-        .unionByName(counts.select("track", "seqname", "location", zero.alias("density"), "n"))
-        .groupBy("seqname", "location")
-        .agg(*(pick(c, "density").alias(c) for c in ("c1", "c2")), *(pick(c, "n").alias(f"n_{c}") for c in ("c1", "c2")))
-    )
-    both = cut_lineage(both)
-    spans = periods(both.withColumn("end_", F.col("location") + cfg.span), ("seqname",), start="location", end="end_")
-    spans = spans.select("seqname", "start_", (F.col("end_") - cfg.span).alias("end_"))
-    inside = points_in_intervals(both, spans)
-    return inside.select("seqname", "location", F.col("i_start_").alias("interval_start"), F.col("i_end_").alias("interval_end"), "c1", "c2", "n_c1", "n_c2")
+    return kde.two_densities(events, cfg.bandwidth, cfg.span)
 
 
 def smooth_tracks(tracks: DataFrame, cfg: PeakConfig | None = None) -> DataFrame:
@@ -74,8 +58,7 @@ def smooth_tracks(tracks: DataFrame, cfg: PeakConfig | None = None) -> DataFrame
     out = tracks
     for c in ("c1", "c2"):
         if cfg.smooth[c]:
-            wide = smoothed(tracks, ["seqname"], [c], cfg.smooth[c], cfg.span).select("seqname", "location", f"{c}_smooth")
-            out = out.join(wide, ["seqname", "location"])
+            out = smoothed(out, ["seqname"], [c], cfg.smooth[c], cfg.span)
     return out
 
 
