@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from intervane.errors import BarcodeError, BEDFormatError
 from intervane.operators.rejects import is_data_line
 
-_PATH = F.col("_metadata.file_path")
+_PATH = "_metadata.file_path"
 
 
 def file_barcode(path: Column, pattern: str = r"([^/]+?)(?:\.bed)?(?:\.gz|\.bz2)?$") -> Column:
@@ -34,7 +34,7 @@ def read_fragments(spark: SparkSession, paths: str | Sequence[str], n_columns: i
         raise BEDFormatError("fragment files have 3 or 4 columns")
     columns = ["seqname STRING", "start_ BIGINT", "end_ BIGINT", "name STRING"][:n_columns]
     rows = spark.read.csv(paths, sep="\t", comment=comment, schema=", ".join(columns), mode="FAILFAST")
-    sample = file_barcode(_PATH, barcode) if barcode else file_barcode(_PATH)
+    sample = file_barcode(F.col(_PATH), barcode) if barcode else file_barcode(F.col(_PATH))
     name = F.col("name") if n_columns == 4 else F.concat(F.lit("read-"), F.monotonically_increasing_id().cast("string"))
     rows = rows.select(sample.alias("sample"), "seqname", "start_", "end_", name.alias("name")).filter("sample IS NOT NULL")
     return rows.withColumn("length", F.col("end_") - F.col("start_"))
