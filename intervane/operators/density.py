@@ -13,25 +13,29 @@ from intervane.operators.periods import periods
 from intervane.operators.range_join import points_in_intervals
 from intervane.operators.shards import with_halo
 
+#: Events that are spread over the grid at once.
+_BLOCK = 2048
+
 
 def kernel_sums(locations: np.ndarray, weights: Sequence[np.ndarray], low: int, high: int, bandwidth: float, step: int, cutoff: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Grid positions (multiples of ``step`` in ``low..high-1``) near data, and for each of the ``weights`` their sums of Gaussian kernels per 100 positions.
 
-    One pass per grid offset within the cut-off, each vectorised over all locations.
+    Events are taken in blocks, each with all grid offsets within the cut-off at once.
     """
     low, high = max(low, int(locations.min()) - cutoff), min(high, int(locations.max()) + cutoff + 1)
     first = -(-low // step)
     cells = max((high - 1) // step - first + 1, 0)
     sums, near = [np.zeros(cells) for _ in weights], np.zeros(cells, dtype=bool)
-    base = locations // step
-    for j in range(-(cutoff // step) - 1, cutoff // step + 2):
-        cell = base + j
-        distance = cell * step - locations
-        inside = (np.abs(distance) <= cutoff) & (cell >= first) & (cell < first + cells)
-        at = cell[inside] - first
-        kernel = np.exp(-0.5 * (distance[inside] / bandwidth) ** 2)
+    offsets = np.arange(-(cutoff // step) - 1, cutoff // step + 2)
+    for block in range(0, len(locations), _BLOCK):
+        here = locations[block : block + _BLOCK]
+        cell = (here // step)[:, None] + offsets
+        distance = cell * step - here[:, None]
+        event, offset = np.nonzero((np.abs(distance) <= cutoff) & (cell >= first) & (cell < first + cells))
+        at = cell[event, offset] - first
+        kernel = np.exp(-0.5 * (distance[event, offset] / bandwidth) ** 2)
         for total, weight in zip(sums, weights, strict=True):
-            total += np.bincount(at, weight[inside] * kernel, minlength=cells)
+            total += np.bincount(at, weight[block : block + _BLOCK][event] * kernel, minlength=cells)
         near[at] = True
     hit = np.flatnonzero(near)
     return (hit + first) * step, [total[hit] * 100 / (bandwidth * np.sqrt(2 * np.pi)) for total in sums]
