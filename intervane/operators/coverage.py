@@ -97,6 +97,20 @@ def weighted_quantile(rows: DataFrame, keys: Sequence[str], value: str, weight:
     return near.groupBy(*keys, "rank").agg(low.alias("a"), high.alias("b")).select(*keys, (F.col("a") + (F.col("rank") - F.floor("rank")) * (F.col("b") - F.col("a"))).alias("quantile"))
 
 
+def group_order(rows: DataFrame, group: str, sort_by: str) -> DataFrame:
+    """Groups in the order of their median ``sort_by``: group, ``median``, ``place`` from 1, equal medians sharing a place.
+
+    Medians are found by rank; only the list of groups, one row each, is ordered.
+    """
+    medians = weighted_quantile(rows.withColumn("__one", F.lit(1)), [group], sort_by, "__one", 0.5)
+    return medians.select(group, F.col("quantile").alias("median"), F.dense_rank().over(Window.orderBy("quantile")).alias("place"))
+
+
+def ambiguous_groups(rows: DataFrame, group: str, label: str) -> DataFrame:
+    """Groups with more than one ``label``, which a drawing with one colour per group cannot show."""
+    return rows.groupBy(group).agg(F.count_distinct(label).alias("n_labels")).filter("n_labels > 1")
+
+
 def spine_counts(events: DataFrame, reach: int, keys: Sequence[str] = ("sample", "seqname"), shard_width: int = 1 << 20) -> DataFrame:
     """Unique locations with the number of others at a distance below ``reach`` to the left and right: the keys, location, n_left, n_right.
 

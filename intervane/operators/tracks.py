@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from intervane.errors import ArgumentError
-from intervane.operators.shards import shard_of, with_halo, with_neighbours
+from intervane.operators.shards import running_total, shard_of, with_halo, with_neighbours
 
 
 def interpolated(points: DataFrame, keys: Sequence[str], value: str, span: int = 10, max_gap: int | None = None) -> DataFrame:
@@ -91,6 +91,29 @@ def smoothed(track: DataFrame, keys: Sequence[str], values: Sequence[str], width
     return halo.groupBy(*keys, "shard").applyInPandas(smooth, schema)
 
 
+def thinned(track: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+    """At most ``most`` rows per entity: those at the whole-number ranks evenly spaced from the first to the last.
+
+    ``track`` has one row per entity and location. Ranks are prefix sums over
+    shards, so no entity is sorted as a whole; a shorter entity is kept as it is.
+    """
+    if most < 2:
+        raise ArgumentError("thinning keeps the two ends at least")
+    keys = list(keys)
+    ranked = running_total(track.withColumn("__one", F.lit(1).cast("bigint")), keys, "location", "__one", "__rank").drop("__one")
+    totals = track.groupBy(*keys).agg((F.count("*") - 1).alias("__last"))
+    ranked = ranked.join(totals, keys).withColumn("__rank", F.col("__rank") - 1)
+    step = F.expr(f"(__rank * {most - 1} + __last - 1) div __last")
+    spaced = F.expr(f"(__step * __last) div {most - 1}") == F.col("__rank")
+    ranked = ranked.withColumn("__step", F.when(F.col("__last") >= most, step))
+    return ranked.filter((F.col("__last") < most) | spaced).drop("__rank", "__last", "__step")
+
+
+def at_least(value: Column, low: float) -> Column:
+    """``value``, or ``low`` where it is smaller."""
+    return F.greatest(value, F.lit(low))
+
+
 def nearest_grid(location: Column, step: int) -> Column:
     """Grid position at or below a location."""
     return shard_of(location, step) * step

@@ -291,6 +291,22 @@ def binned_track(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(tracks.binned(points, ["sample", "seqname"], "value", 500, F.lit(0).cast("bigint"), unit=100.0), "value")
 
 
+@query
+def thinned_track(spark: SparkSession, folder: str) -> DataFrame:
+    return tracks.thinned(_counts_of_bins(spark, folder), ["sample", "seqname"], 20).withColumn("value", tracks.at_least(F.col("value"), 2.0))
+
+
+@query
+def sample_order(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "fragments").select("fragment_id", "sample", F.col("length").cast("double").alias("length")).distinct()
+    return coverage.group_order(rows, "sample", "length")
+
+
+@query
+def shared_barcodes(spark: SparkSession, folder: str) -> DataFrame:
+    return coverage.ambiguous_groups(table(spark, folder, "fragments").filter("barcode IS NOT NULL"), "barcode", "sample")
+
+
 def _targeted(spark: SparkSession, folder: str) -> DataFrame:
     return deconvolution.cuts_by_target(table(spark, folder, "cuts"), table(spark, folder, "peaks"))
 

@@ -291,6 +291,15 @@ SELECT track AS kind, seqname, start_, end_, round(mean, 6) AS mean FROM called
 UNION ALL SELECT 'overlap', seqname, min(start_), max(end_), round(avg(mean), 6) FROM lab GROUP BY seqname, label""",
     "interp_track": _BINNED + "SELECT sample, seqname, location, round(value, 6) AS value FROM grid",
     "binned_track": _BINNED + "SELECT sample, seqname, location // 500 * 500 AS start_, location // 500 * 500 + 500 AS end_, round(avg(value) * 100, 6) AS value FROM grid GROUP BY ALL",
+    "thinned_track": _BINNED
+    + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY sample, seqname ORDER BY location) - 1 AS rn, count(*) OVER (PARTITION BY sample, seqname) AS m FROM pts)
+SELECT sample, seqname, location, greatest(value, 2e0) AS value FROM r
+WHERE m <= 20 OR rn IN (SELECT (j * (r.m - 1)) // 19 FROM range(0, 20) q(j))""",
+    "sample_order": """
+WITH m AS (SELECT sample, quantile_cont(CAST(length AS DOUBLE), 0.5) AS median FROM (SELECT DISTINCT fragment_id, sample, length FROM fragments) GROUP BY sample)
+SELECT sample, median, CAST(dense_rank() OVER (ORDER BY median) AS INTEGER) AS place FROM m""",
+    "shared_barcodes": "SELECT barcode, count(DISTINCT sample) AS n_labels FROM fragments WHERE barcode IS NOT NULL GROUP BY barcode HAVING count(DISTINCT sample) > 1",
     "fit_weights": "WITH" + _FIT + "SELECT workchunk, comp, k, round(w, 6) AS w FROM fit",
     "mode_weights": "WITH"
     + _FIT

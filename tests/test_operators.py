@@ -290,3 +290,16 @@ def test_histogram_and_widths(spark):
     assert {r["seqname"]: r["median_location"] for r in coverage.location_medians(cuts).collect()} == {"c": 4, "d": 3}
     spine = {(r["seqname"], r["location"]): (r["n_left"], r["n_right"]) for r in coverage.spine_counts(cuts, 5, shard_width=8).collect()}
     assert spine == {("c", 0): (0, 1), ("c", 4): (1, 0), ("c", 10): (0, 0), ("d", 3): (0, 0)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 8, 100])
+def test_thinning(spark, n):
+    df = spark.createDataFrame([("s", 3 * i, i) for i in range(n)], "k STRING, location BIGINT, v INT")
+    got = sorted(r["v"] for r in tracks.thinned(df, ["k"], 7).collect())
+    assert got == sorted({j * (n - 1) // 6 for j in range(7)}) if n > 7 else got == list(range(n))
+
+
+def test_group_order(spark):
+    df = spark.createDataFrame([("a", 5.0), ("a", 7.0), ("b", 6.0), ("c", 1.0), ("c", None)], "g STRING, v DOUBLE")
+    assert sorted(tuple(r) for r in coverage.group_order(df, "g", "v").collect()) == [("a", 6.0, 2), ("b", 6.0, 2), ("c", 1.0, 1)]
+    assert [r["g"] for r in coverage.ambiguous_groups(df, "g", "v").collect()] == ["a"]
