@@ -15,6 +15,8 @@ from intervane.session import cut_lineage
 MEASURES = ("chars", "bytes", "body_chars", "body_bytes")
 _ENDS = tuple(".?!。！？…)")
 _TERMINALS = rf"[{''.join(_ENDS)}]\z"
+#: What some archives put where they cut.
+_CUT_MARK = r"(\.\.\.|…)\z"
 
 
 def _plain_line(line: Column) -> Column:
@@ -104,18 +106,18 @@ def _with_limit(rows: DataFrame, limits: DataFrame) -> DataFrame:
     return rows.withColumn("hit", F.greatest(*(f"hit_{m}" for m in MEASURES))).drop(*(f"hit_{m}" for m in MEASURES))
 
 
-def length_limits(endings: DataFrame, min_incomplete: float = 0.25, **test: float) -> DataFrame:
+def length_limits(endings: DataFrame, min_incomplete: float = 0.5, **test: float) -> DataFrame:
     """source, measure, length, n of the lengths at which a source cuts texts.
 
     ``endings`` has source, the four lengths and ``ending``. A text at several
     significant lengths (3000 characters are also some number of bytes) speaks
     for the one shared by the most texts. A length for which fewer than half of
     its texts speak is an echo of another, and one where fewer than
-    ``min_incomplete`` of the texts end broken or open is the length of a common
-    complete message; both are dropped.
+    ``min_incomplete`` of the texts end broken, open or marked is the length of a
+    common complete message; both are dropped.
     """
     found = cut_lineage(length_hazards(endings, **test).filter("significant").select("source", "measure", "length", "n"))
-    incomplete = F.col("ending").isin("broken", "open").cast("double")
+    incomplete = F.col("ending").isin("broken", "open", "marked").cast("double")
     spoken = _with_limit(endings, found).filter("hit IS NOT NULL").groupBy("source", "hit").agg(F.count("*").alias("votes"), F.avg(incomplete).alias("share"))
     votes = spoken.select(F.col("source").alias("of"), "hit.measure", "hit.length", "votes", "share")
     kept = (
@@ -177,6 +179,7 @@ def text_endings(documents: DataFrame, support: int = 3) -> DataFrame:
     ending = (
         F.when(~words, F.col("state"))
         .when(F.col("line") == "", "known")
+        .when(F.col("line").rlike(_CUT_MARK), "marked")
         .when(F.col("asked").isNull(), "sentence")
         .when(F.col("known").isNotNull(), "known")
         .otherwise("open")
@@ -184,14 +187,16 @@ def text_endings(documents: DataFrame, support: int = 3) -> DataFrame:
     return ends.select("doc_id", "source", *MEASURES, ending.alias("ending"))
 
 
-def truncated_texts(documents: DataFrame, support: int = 3, min_incomplete: float = 0.25, **test: float) -> DataFrame:
+def truncated_texts(documents: DataFrame, support: int = 3, min_incomplete: float = 0.5, **test: float) -> DataFrame:
     """Every text with its ending and the verdict: doc_id, source, ending, measure, length, truncated.
 
     ``ending`` is ``closed`` (closing boundary, end of the HTML, a quotation
     shortened by its author), ``broken`` (cut inside an encoding, a boundary or
-    the headers), ``sentence`` (ends with a sentence), ``known`` (ends with a
-    line at which messages of the collection break on purpose: names, greetings,
-    footers), ``open`` (anything else: mid-word or mid-sentence) or ``empty``.
+    the headers), ``marked`` (ends with dots, which an archive may put where it
+    cuts and a writer anywhere: no sign by itself), ``sentence`` (ends with a
+    sentence), ``known`` (ends with a line at which messages of the collection
+    break on purpose: names, greetings, footers), ``open`` (anything else:
+    mid-word or mid-sentence) or ``empty``.
     ``measure`` and ``length`` are the length limit the text meets, if the hazard
     there is significant (see :func:`length_hazards` and :func:`length_limits`).
 

@@ -54,6 +54,31 @@ def test_archives(spark):
     assert truncated_texts(frame.limit(0)).count() == 0
 
 
+def test_marked_cuts_and_common_lengths(spark):
+    """An archive that puts dots where it cuts has a limit; complete messages of one length, two of them broken off, have none."""
+    rng = random.Random(5)
+    rows, want = [], set()
+    for i in range(600):
+        text = message(rng, rng.randint(100, 2600))
+        if len(text) >= 1000:
+            text = text[:997] + "..."
+            want.add(i)
+        rows.append((i, text, "dots", "", 1))
+    for i in range(600, 900):
+        text = message(rng, rng.randint(100, 2600))
+        rows.append((i, text, "jobs", "", 1))
+    for i in range(900, 909):
+        job = f"Job {i} ended"
+        rows.append((i, HEAD + job + "." * (i < 907) + " All of it was written." * (i < 907) + "q" * (24 if i >= 907 else 0), "jobs", "", 1))
+    rows.append((999, HEAD + "I wonder whether it holds...", "dots", "", 1))
+    got = {r["doc_id"]: r for r in truncated_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len({len(r[1]) for r in rows if 900 <= r[0] < 909}) == 1
+    assert {i for i in got if i < 600 and got[i]["truncated"]} == want
+    assert got[999]["ending"] == "marked" and not got[999]["truncated"]
+    assert all(got[i]["measure"] is None for i in got if i >= 600)
+    assert [i for i in range(900, 909) if got[i]["truncated"]] == [907, 908]
+
+
 def test_hazards_by_hand(spark):
     rows = [(i, 100 + i % 40, "a") for i in range(400)] + [(1000 + i, 120, "a") for i in range(200)]
     lengths = spark.createDataFrame(rows, "doc_id BIGINT, chars INT, source STRING").selectExpr("*", "chars AS bytes", "chars AS body_chars", "chars AS body_bytes")
