@@ -63,6 +63,45 @@ def location_widths(events: DataFrame, keys: Sequence[str] = ("sample", "seqname
     return spots.withColumn("width", width).withColumn("log_width", F.ln("width")).drop("before", "after")
 
 
+def event_weights(events: DataFrame, keys: Sequence[str] = ("sample", "seqname")) -> DataFrame:
+    """Unique locations with the weight of each of their events: the keys, location, n, weight.
+
+    The stretch from half way to the one neighbour to half way to the other is
+    shared by the events of the location; outermost locations have only the
+    inner half, and a single location stands for one position.
+    """
+    keys = list(keys)
+    spots = events.dropna(subset=[*keys, "location"]).groupBy(*keys, "location").agg(F.count("*").alias("n"))
+    spots = with_neighbours(spots, keys, "location")
+    stretch = (F.coalesce("after", "location") - F.coalesce("before", "location")) / 2
+    alone = F.col("before").isNull() & F.col("after").isNull()
+    return spots.select(*keys, "location", "n", (F.when(alone, 1.0).otherwise(stretch) / F.col("n")).alias("weight"))
+
+
+def numbered_events(events: DataFrame, keys: Sequence[str] = ("sample", "seqname"), event_id: str = "cut_id") -> DataFrame:
+    """Events with a name by their place in the order of keys, location and id: the id, ``number`` (from 0) and ``name``.
+
+    Names are ``event_`` and the number, padded to as many digits as the last
+    one needs. Numbers are the events before the entity, plus those before the
+    location (prefix sums over shards), plus the rank at the location, so nothing
+    is sorted as a whole. Events with a null key or location have no place and are
+    left out; ids are expected to be unique.
+    """
+    keys = list(keys)
+    rows = events.select(*keys, "location", event_id).dropna(subset=[*keys, "location"])
+    spots = rows.groupBy(*keys, "location").agg(F.count("*").alias("n"))
+    entities = spots.groupBy(*keys).agg(F.sum("n").alias("total"))
+    earlier = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    # one row per entity
+    entities = entities.select(*keys, F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("ahead"), F.sum("total").over(Window.partitionBy()).alias("all_events"))
+    places = running_total(spots, keys, "location", "n", "upto").join(entities, keys)
+    rank = F.row_number().over(Window.partitionBy(*keys, "location").orderBy(event_id))
+    number = F.col("ahead") + F.col("upto") - F.col("n") + rank - 1
+    digits = F.length((F.col("all_events") - 1).cast("string"))
+    numbered = rows.join(places, [*keys, "location"]).withColumn("number", number)
+    return numbered.select(event_id, "number", F.concat(F.lit("event_"), F.lpad(F.col("number").cast("string"), digits, F.lit("0"))).alias("name"))
+
+
 def location_medians(events: DataFrame, keys: Sequence[str] = ("sample", "seqname")) -> DataFrame:
     """Median of the unique locations of each entity, as an integer: the shift that centres them.
 

@@ -67,6 +67,12 @@ def not_overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("s
     return left.join(hit, "interval_id", "left_anti")
 
 
+def centred_in(rows: DataFrame, seqname: str, low: int, high: int) -> DataFrame:
+    """Intervals of one sequence whose midpoint lies strictly between ``low`` and ``high``."""
+    twice = F.col("start_") + F.col("end_")
+    return rows.filter((F.col("seqname") == seqname) & (twice > 2 * low) & (twice < 2 * high))
+
+
 def region(rows: DataFrame, seqname: str, low: int, high: int) -> DataFrame:
     """Intervals of one sequence that reach into ``low..high``; pushed down to the scan."""
     return rows.filter((F.col("seqname") == seqname) & (F.col("end_") >= low) & (F.col("start_") <= high))

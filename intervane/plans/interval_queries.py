@@ -120,6 +120,12 @@ def region_fragments(spark: SparkSession, folder: str) -> DataFrame:
     return fragments.to_events(found.select("fragment_id", "sample", "seqname", "start_", "end_").distinct())
 
 
+@query
+def peaks_centred(spark: SparkSession, folder: str) -> DataFrame:
+    found = range_join.centred_in(table(spark, folder, "peaks"), *read_region(REGION))
+    return found.select("peak_id", "sample", "track", "seqname", "start_", "end_").distinct()
+
+
 @query
 def feature_lookup(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "peaks").dropna(subset=["seqname", "start_", "end_"])
@@ -139,6 +145,17 @@ def quadrature_widths(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(coverage.location_widths(rows), "width", "log_width")
 
 
+@query
+def event_weights(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "cuts").select("cut_id", "sample", "seqname", "location").distinct()
+    return rounded(coverage.event_weights(rows), "weight")
+
+
+@query
+def event_names(spark: SparkSession, folder: str) -> DataFrame:
+    return coverage.numbered_events(table(spark, folder, "cuts").select("cut_id", "sample", "seqname", "location").distinct())
+
+
 @query
 def location_shift(spark: SparkSession, folder: str) -> DataFrame:
     return coverage.location_medians(table(spark, folder, "cuts"))

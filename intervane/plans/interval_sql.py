@@ -193,6 +193,19 @@ w AS (SELECT *, row_number() OVER o - 1 AS rank, location - lag(location) OVER o
       WINDOW o AS (PARTITION BY sample, seqname ORDER BY location)),
 v AS (SELECT *, coalesce((l + r) / 2e0, CAST(l AS DOUBLE), CAST(r AS DOUBLE), 1e0) AS width FROM w)
 SELECT sample, seqname, location, n, CAST(rank AS BIGINT) AS rank, round(width, 6) AS width, round(ln(width), 6) AS log_width FROM v""",
+    "event_weights": """
+WITH s AS (SELECT sample, seqname, location, count(*) AS n FROM (SELECT DISTINCT cut_id, sample, seqname, location FROM cuts)
+           WHERE sample IS NOT NULL AND seqname IS NOT NULL AND location IS NOT NULL GROUP BY ALL),
+w AS (SELECT *, lag(location) OVER o AS a, lead(location) OVER o AS b FROM s WINDOW o AS (PARTITION BY sample, seqname ORDER BY location))
+SELECT sample, seqname, location, n,
+       round(CASE WHEN a IS NULL AND b IS NULL THEN 1e0 ELSE (coalesce(b, location) - coalesce(a, location)) / 2e0 END / n, 6) AS weight FROM w""",
+    "event_names": """
+WITH s AS (SELECT DISTINCT cut_id, sample, seqname, location FROM cuts WHERE sample IS NOT NULL AND seqname IS NOT NULL AND location IS NOT NULL),
+r AS (SELECT cut_id, row_number() OVER (ORDER BY sample, seqname, location, cut_id) - 1 AS number, count(*) OVER () AS n FROM s)
+SELECT cut_id, number, 'event_' || lpad(CAST(number AS VARCHAR), length(CAST(n - 1 AS VARCHAR))::INT, '0') AS name FROM r""",
+    "peaks_centred": """
+SELECT DISTINCT peak_id, sample, track, seqname, start_, end_ FROM peaks
+WHERE seqname = 'chr1' AND start_ + end_ > 40000000 AND start_ + end_ < 120000000""",
     "location_shift": """
 SELECT sample, seqname, CAST(trunc(quantile_cont(location, 0.5)) AS BIGINT) AS median_location, count(*) AS n_locations
 FROM (SELECT DISTINCT sample, seqname, location FROM cuts WHERE sample IS NOT NULL AND seqname IS NOT NULL AND location IS NOT NULL) GROUP BY ALL""",

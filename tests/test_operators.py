@@ -278,6 +278,18 @@ def test_labels_and_regions(spark):
     assert look("chr3:5-9") == [("chr3", 4, 10, "region")] and look("none") == []
 
 
+def test_numbered_and_centred(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice("ab"), rng.choice(["c1", "c10", None]), rng.choice([None, 5, 2_000_000, *range(20)])) for i in range(300)]
+    cuts = spark.createDataFrame(rows, "cut_id BIGINT, sample STRING, seqname STRING, location BIGINT").withColumn("n", F.lit(7))
+    order = sorted((s, q, x, i) for i, s, q, x in rows if q and x is not None)
+    got = sorted((r["number"], r["cut_id"], r["name"]) for r in coverage.numbered_events(cuts).collect())
+    assert got == [(k, i, f"event_{k:03d}") for k, (*_, i) in enumerate(order)]
+    assert coverage.numbered_events(cuts.limit(0)).count() == 0 and coverage.event_weights(cuts.limit(0)).count() == 0
+    spans = spark.createDataFrame([(1, "c1", 0, 10), (2, "c1", 0, 11), (3, "c1", 9, 10), (4, "c1", 9, 11), (5, "c2", 7, 8), (6, None, 7, 8), (7, "c1", None, 8)], "id INT, seqname STRING, start_ BIGINT, end_ BIGINT")
+    assert sorted(r["id"] for r in range_join.centred_in(spans, "c1", 5, 10).collect()) == [2, 3]
+
+
 def test_histogram_and_widths(spark):
     df = spark.createDataFrame([("a", x) for x in (1, 10, 11, 25)] + [("b", 2), (None, 3)], "g STRING, length BIGINT")
     got = {(r["g"], r["length"]): r["count"] for r in coverage.length_histogram(df, "g").collect()}
@@ -288,6 +300,8 @@ def test_histogram_and_widths(spark):
     widths = {(r["seqname"], r["location"]): (r["n"], r["rank"], r["width"]) for r in coverage.location_widths(cuts).collect()}
     assert widths == {("c", 0): (1, 0, 4.0), ("c", 4): (2, 1, 5.0), ("c", 10): (1, 2, 6.0), ("d", 3): (1, 0, 1.0)}
     assert {r["seqname"]: r["median_location"] for r in coverage.location_medians(cuts).collect()} == {"c": 4, "d": 3}
+    weights = {(r["seqname"], r["location"]): r["weight"] for r in coverage.event_weights(cuts).collect()}
+    assert weights == {("c", 0): 2.0, ("c", 4): 2.5, ("c", 10): 3.0, ("d", 3): 1.0}
     spine = {(r["seqname"], r["location"]): (r["n_left"], r["n_right"]) for r in coverage.spine_counts(cuts, 5, shard_width=8).collect()}
     assert spine == {("c", 0): (0, 1), ("c", 4): (1, 0), ("c", 10): (0, 0), ("d", 3): (0, 0)}
 
