@@ -10,14 +10,15 @@ from intervane.functions import lengths as L
 from intervane.functions.kernels import covariance
 from intervane.functions.regions import read_region, region_column
 from intervane.operators import annotation, coverage, deconvolution, density, fragments, packages, peaks, periods, range_join, tracks
-from intervane.plans import pipelines
-from intervane.plans.interval_sql import SQL  # noqa: F401
+from intervane.plans import interval_sql, pipelines
 from intervane.session import cut_lineage, table, written
 
 QUERIES = {}
 
-#: Peak calling of the queries: the second track smoothed over 200 bases.
-PEAKS = PeakConfig(smooth={"c1": 0, "c2": 200})
+#: Peak calling of the queries: the usual settings.
+PEAKS = PeakConfig()
+#: The settings the SQL is written for: the second track smoothed over 200 bases.
+NARROW_PEAKS = PeakConfig(smooth={"c1": 0, "c2": 200})
 REGION = "chr1:20,000,000-60_000_000"
 
 
@@ -27,6 +28,11 @@ def query(build):
     return build
 
 
+def narrow(build, **settings):
+    """Register a query once more as ``<name>_narrow``, with the settings of its SQL where those are not the usual ones."""
+    QUERIES[f"{build.__name__}_narrow"] = lambda spark, folder: build(spark, folder, **settings)
+
+
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     """Doubles rounded to 6 digits, so that engines that add in another order agree."""
     return df.withColumns({c: F.round(c, 6) for c in columns})
@@ -218,12 +224,12 @@ def _tracks(spark: SparkSession, folder: str) -> DataFrame:
     return written(pipelines.two_tracks(_events(spark, folder), PEAKS))
 
 
-def _marked(spark: SparkSession, folder: str) -> DataFrame:
-    return written(pipelines.marked_tracks(_tracks(spark, folder), PEAKS))
+def _marked(spark: SparkSession, folder: str, cfg: PeakConfig) -> DataFrame:
+    return written(pipelines.marked_tracks(_tracks(spark, folder), cfg))
 
 
-def _peaks(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    called = cut_lineage(pipelines.called_peaks(marked, PEAKS))
+def _peaks(marked: DataFrame, cfg: PeakConfig) -> tuple[DataFrame, DataFrame]:
+    called = cut_lineage(pipelines.called_peaks(marked, cfg))
     return called.filter("track = 'c1'"), called.filter("track = 'c2'")
 
 
@@ -256,40 +262,44 @@ def quantile_bounds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query
-def gaussian_smooth(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(pipelines.smooth_tracks(_tracks(spark, folder), PEAKS).select("seqname", "location", "c2_smooth"), "c2_smooth")
+def gaussian_smooth(spark: SparkSession, folder: str, cfg: PeakConfig = PEAKS) -> DataFrame:
+    return rounded(pipelines.smooth_tracks(_tracks(spark, folder), cfg).select("seqname", "location", "c2_smooth"), "c2_smooth")
 
 
 @query
-def peak_flags(spark: SparkSession, folder: str) -> DataFrame:
-    return _marked(spark, folder).select("seqname", "location", "c1_peak", "c2_peak")
+def peak_flags(spark: SparkSession, folder: str, cfg: PeakConfig = PEAKS) -> DataFrame:
+    return _marked(spark, folder, cfg).select("seqname", "location", "c1_peak", "c2_peak")
 
 
 @query
-def peak_islands(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(pipelines.called_peaks(_marked(spark, folder), PEAKS), "mean", "auc")
+def peak_islands(spark: SparkSession, folder: str, cfg: PeakConfig = PEAKS) -> DataFrame:
+    return rounded(pipelines.called_peaks(_marked(spark, folder, cfg), cfg), "mean", "auc")
 
 
 @query
-def peak_summits(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(peaks.summits(pipelines.called_peaks(_marked(spark, folder), PEAKS)), "signal")
+def peak_summits(spark: SparkSession, folder: str, cfg: PeakConfig = PEAKS) -> DataFrame:
+    return rounded(peaks.summits(pipelines.called_peaks(_marked(spark, folder, cfg), cfg)), "signal")
 
 
 @query
-def overlap_report(spark: SparkSession, folder: str) -> DataFrame:
-    marked = _marked(spark, folder)
+def overlap_report(spark: SparkSession, folder: str, cfg: PeakConfig = PEAKS) -> DataFrame:
+    marked = _marked(spark, folder, cfg)
     # every grid position of a peak is flagged, so positions of an overlap are flagged in both tracks
-    report = peaks.overlap_report(*_peaks(marked), marked.filter("c1_peak AND c2_peak"))
+    report = peaks.overlap_report(*_peaks(marked, cfg), marked.filter("c1_peak AND c2_peak"))
     return rounded(report, "c1_fraction", "c2_fraction", "mean_c1", "mean_c2", "distance", "log_ratio", "log_ratio_corrected", "callability")
 
 
 @query
-def filter_overlaps(spark: SparkSession, folder: str) -> DataFrame:
-    c1, c2, both = peaks.filtered_overlaps(*_peaks(_marked(spark, folder)), PEAKS.fraction_overlap)
+def filter_overlaps(spark: SparkSession, folder: str, cfg: PeakConfig = PEAKS) -> DataFrame:
+    c1, c2, both = peaks.filtered_overlaps(*_peaks(_marked(spark, folder, cfg), cfg), cfg.fraction_overlap)
     parts = [df.select(F.lit(kind).alias("kind"), "seqname", "start_", "end_", "mean") for kind, df in (("c1", c1), ("c2", c2), ("overlap", both))]
     return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), "mean")
 
 
+for build in (gaussian_smooth, peak_flags, peak_islands, peak_summits, overlap_report, filter_overlaps):
+    narrow(build, cfg=NARROW_PEAKS)
+
+
 def _counts_of_bins(spark: SparkSession, folder: str) -> DataFrame:
     """Cuts per sample, sequence and occupied place of 100 bases: an irregular track."""
     cuts = table(spark, folder, "cuts").dropna(subset=["seqname", "location"])
@@ -391,3 +401,7 @@ def chunk_loads(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def richest_packages(spark: SparkSession, folder: str) -> DataFrame:
     return packages.richest_package(_packages(spark, folder))
+
+
+#: SQL by query; where it is written for narrower settings, that of the query registered with those.
+SQL = {f"{name}_narrow" if f"{name}_narrow" in QUERIES else name: text for name, text in interval_sql.SQL.items()}
