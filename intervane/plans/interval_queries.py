@@ -308,16 +308,20 @@ def _counts_of_bins(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query
-def interp_track(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(tracks.interpolated(_counts_of_bins(spark, folder), ["sample", "seqname"], "value", span=50, max_gap=2000), "value")
+def interp_track(spark: SparkSession, folder: str, max_gap: int | None = None) -> DataFrame:
+    return rounded(tracks.interpolated(_counts_of_bins(spark, folder), ["sample", "seqname"], "value", span=50, max_gap=max_gap), "value")
 
 
 @query
-def binned_track(spark: SparkSession, folder: str) -> DataFrame:
-    points = tracks.interpolated(_counts_of_bins(spark, folder), ["sample", "seqname"], "value", span=50, max_gap=2000)
+def binned_track(spark: SparkSession, folder: str, max_gap: int | None = None) -> DataFrame:
+    points = tracks.interpolated(_counts_of_bins(spark, folder), ["sample", "seqname"], "value", span=50, max_gap=max_gap)
     return rounded(tracks.binned(points, ["sample", "seqname"], "value", 500, F.lit(0).cast("bigint"), unit=100.0), "value")
 
 
+for build in (interp_track, binned_track):
+    narrow(build, max_gap=2000)
+
+
 @query
 def thinned_track(spark: SparkSession, folder: str) -> DataFrame:
     return tracks.thinned(_counts_of_bins(spark, folder), ["sample", "seqname"], 20).withColumn("value", tracks.at_least(F.col("value"), 2.0))

@@ -1,5 +1,6 @@
 """Registered queries against brute force, with the settings they are to run with."""
 
+import math
 import random
 
 import numpy as np
@@ -45,3 +46,17 @@ def test_c2_is_smoothed_over_2000_bases(spark, folder):
     peaks = [(p["seqname"].iloc[0], p["location"].min() - 5, p["location"].max() + 5) for _, p in flagged.groupby(runs)]
     found = QUERIES["peak_islands"](spark, folder).filter("track = 'c2'").collect()
     assert peaks and sorted((r["seqname"], r["start_"], r["end_"]) for r in found) == sorted(p for p in peaks if p[2] - p[1] > 400)
+
+
+def test_tracks_bridge_long_gaps(spark, tmp_path):
+    places = [137, 950, 9_050, 9_210, 34_480, 34_890]
+    cuts = [(i, "s", "chr1", x) for i, x in enumerate(p for p in places for _ in range(p % 7 + 1))]
+    spark.createDataFrame(cuts, "cut_id BIGINT, sample STRING, seqname STRING, location BIGINT").write.parquet(f"{tmp_path}/cuts.parquet")
+    at = [p // 100 * 100 + 37 for p in places]
+    grid = np.arange(-(-at[0] // 50) * 50, at[-1] + 1, 50)
+    value = np.interp(grid, at, [p % 7 + 1 for p in places])
+    got = sorted((r["location"], r["value"]) for r in QUERIES["interp_track"](spark, str(tmp_path)).collect())
+    assert [x for x, _ in got] == grid.tolist() and np.allclose([v for _, v in got], value, atol=1e-5)
+    bins = {r["start_"]: r["value"] for r in QUERIES["binned_track"](spark, str(tmp_path)).collect()}
+    assert bins.keys() == set((grid // 500 * 500).tolist())
+    assert all(math.isclose(v, value[grid // 500 * 500 == b].mean() * 100, abs_tol=1e-5) for b, v in bins.items())
