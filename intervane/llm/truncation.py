@@ -142,26 +142,33 @@ def _last_lines(lengths_and_text: DataFrame) -> DataFrame:
     return lengths_and_text.mapInArrow(read, f"{schema}, state STRING, line STRING")
 
 
-def common_lines(documents: DataFrame, short: int = 50, support: int = 3) -> DataFrame:
+def common_lines(documents: DataFrame, short: int = 50, support: int = 3, min_ended: float = 0.05) -> DataFrame:
     """Normalised lines at which messages of the collection end on purpose.
 
     A line shorter than ``short`` that is followed by a line break and does not
     end a sentence was broken by its writer, not by wrapping: a greeting, a name,
     a footer. Lines seen at least ``support`` times in the whole collection
-    count, and so do the names of all senders, with which messages are signed.
+    count if a blank line or the end of the message follows at least the share
+    ``min_ended`` of them: a fragment such as "the" reaches any number in a large
+    collection, but a paragraph hardly ever ends with it. The names of all
+    senders, with which messages are signed, count too.
     """
     def written(line: Column) -> Column:
         return (line != "") & (F.char_length(line) < short) & ~F.substring(line, -1, 1).isin(*_ENDS)
 
+    rest = F.size("lines") - 1
+    ended = (F.char_length("below") < short) & (_plain_line(F.col("below")) == "")
     lines = (
         documents.filter("instr(text, '\n') > 0")
         .select(F.split("text", "\n", -1).alias("lines"))
-        .select(F.explode(F.filter(F.slice("lines", F.lit(1), F.size("lines") - 1), lambda x: (x != "") & (F.char_length(x) < short))).alias("line"))
-        .select(_plain_line(F.col("line")).alias("known"))
+        .select(F.slice("lines", F.lit(1), rest).alias("line"), F.slice("lines", F.lit(2), rest).alias("below"))
+        .select(F.explode(F.filter(F.arrays_zip("line", "below"), lambda x: (x["line"] != "") & (F.char_length(x["line"]) < short))).alias("x"))
+        .select("x.line", "x.below")
+        .select(_plain_line(F.col("line")).alias("known"), ended.cast("int").alias("ended"))
         .filter((F.col("known") != "") & ~F.col("known").rlike(_TERMINALS))
         .groupBy("known")
-        .agg(F.count("*").alias("seen"))
-        .filter(F.col("seen") >= support)
+        .agg(F.count("*").alias("seen"), F.avg("ended").alias("share"))
+        .filter((F.col("seen") >= support) & (F.col("share") >= min_ended))
         .select("known")
     )
     head = F.substring_index("text", "\n\n", 1)

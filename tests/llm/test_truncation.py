@@ -138,6 +138,14 @@ def test_known_lines(spark):
     assert [got[i] for i in (0, 9, 10, 11)] == ["known", "known", "known", "open"]
 
 
+@pytest.mark.parametrize("size", [40, 400])
+def test_wrapped_fragments_excuse_no_cut(spark, size):
+    rows = [(i, HEAD + f"Text {i} shows\nthe\nsummit of all.\n" + "\nAll the best\n" * (i % 4 == 0), "s", "", 1) for i in range(size)]
+    rows += [(9000, HEAD + "Text shows\nthe", "s", "", 1), (9001, HEAD + "Text.\n\nAll the best", "s", "", 1)]
+    got = {r["doc_id"]: r["ending"] for r in text_endings(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert (got[9000], got[9001]) == ("open", "known")
+
+
 def test_tokens(spark):
     texts = [(1, "Hello world"), (2, None), (3, ""), (4, "größe\n\n 日本語 <|endoftext|>" * 50)]
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts(spark.createDataFrame(texts, "doc_id BIGINT, text STRING"), ["doc_id"]).collect()}
