@@ -19,6 +19,9 @@ QUERIES = {}
 PEAKS = PeakConfig()
 #: The settings the SQL is written for: the second track smoothed over 200 bases.
 NARROW_PEAKS = PeakConfig(smooth={"c1": 0, "c2": 200})
+#: Preparation: the usual settings, and small limits that divide small tables too.
+PREP = PrepConfig()
+NARROW_PREP = PrepConfig(selection_padding=1000, region_padding=500, interval_overlap=1000, max_locs=2000, max_cuts=8000, memory_target=1.0)
 REGION = "chr1:20,000,000-60_000_000"
 
 
@@ -239,8 +242,11 @@ def kde_density(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query
-def kde_intervals(spark: SparkSession, folder: str) -> DataFrame:
-    return density.dense_intervals(_events(spark, folder), padding=1000)
+def kde_intervals(spark: SparkSession, folder: str, padding: int = PrepConfig().selection_padding) -> DataFrame:
+    return density.dense_intervals(_events(spark, folder), padding=padding)
+
+
+narrow(kde_intervals, padding=1000)
 
 
 @query
@@ -387,24 +393,27 @@ def cut_likelihoods(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(found, "log_c1", "log_c2", "marginal_c1", "marginal_c2", "log_total")
 
 
-def _packages(spark: SparkSession, folder: str) -> DataFrame:
-    cfg = PrepConfig(selection_padding=1000, region_padding=500, interval_overlap=1000, max_locs=2000, max_cuts=8000, memory_target=1.0)
+def _packages(spark: SparkSession, folder: str, cfg: PrepConfig) -> DataFrame:
     return cut_lineage(pipelines.prepare(table(spark, folder, "fragments"), table(spark, folder, "blacklist"), cfg))
 
 
 @query
-def work_packages(spark: SparkSession, folder: str) -> DataFrame:
-    return packages.package_names(_packages(spark, folder))
+def work_packages(spark: SparkSession, folder: str, cfg: PrepConfig = PREP) -> DataFrame:
+    return packages.package_names(_packages(spark, folder, cfg))
 
 
 @query
-def chunk_loads(spark: SparkSession, folder: str) -> DataFrame:
-    return packages.chunk_loads(_packages(spark, folder))
+def chunk_loads(spark: SparkSession, folder: str, cfg: PrepConfig = PREP) -> DataFrame:
+    return packages.chunk_loads(_packages(spark, folder, cfg))
 
 
 @query
-def richest_packages(spark: SparkSession, folder: str) -> DataFrame:
-    return packages.richest_package(_packages(spark, folder))
+def richest_packages(spark: SparkSession, folder: str, cfg: PrepConfig = PREP) -> DataFrame:
+    return packages.richest_package(_packages(spark, folder, cfg))
+
+
+for build in (work_packages, chunk_loads, richest_packages):
+    narrow(build, cfg=NARROW_PREP)
 
 
 #: SQL by query; where it is written for narrower settings, that of the query registered with those.

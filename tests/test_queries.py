@@ -60,3 +60,16 @@ def test_tracks_bridge_long_gaps(spark, tmp_path):
     bins = {r["start_"]: r["value"] for r in QUERIES["binned_track"](spark, str(tmp_path)).collect()}
     assert bins.keys() == set((grid // 500 * 500).tolist())
     assert all(math.isclose(v, value[grid // 500 * 500 == b].mean() * 100, abs_tol=1e-5) for b, v in bins.items())
+
+
+def test_kde_intervals_are_padded_by_10000(spark, folder):
+    dens = QUERIES["kde_density"](spark, folder).filter("density > 2").toPandas().sort_values(["seqname", "location"])
+    ends = spark.read.parquet(f"{folder}/fragments.parquet").groupBy("seqname").agg({"start_": "min", "end_": "max"}).toPandas().set_index("seqname")
+    want = []
+    for name, part in dens.groupby("seqname"):
+        low, high = ends.loc[name, "min(start_)"] - 1, ends.loc[name, "max(end_)"] + 1
+        for _, run in part.groupby((part["location"].diff() > 20_000).cumsum()):
+            a, b = run["location"].min(), run["location"].max()
+            want.append((name, max(low, a - 10_000), min(high, b + 10_000 - 1), len(run)))
+    got = [(r["seqname"], r["start_"], r["end_"], r["n_positions"]) for r in QUERIES["kde_intervals"](spark, folder).collect()]
+    assert sorted(got) == sorted(want)
