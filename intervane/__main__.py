@@ -12,7 +12,7 @@ from intervane.operators import fragments as frag
 from intervane.operators import peaks as pk
 from intervane.operators.tracks import binned
 from intervane.plans import pipelines
-from intervane.session import cut_lineage, written
+from intervane.session import cut_lineage
 from intervane.sources import interval_files as files
 from intervane.sources import interval_sinks as sinks
 
@@ -73,8 +73,8 @@ def peaks(spark: SparkSession, a: argparse.Namespace) -> None:
     )
     parts = [files.read_fragments(spark, path, a.columns).withColumn("track", F.lit(c)) for c, path in (("c1", a.c1), ("c2", a.c2))]
     events = frag.to_events(frag.outside_sequences(parts[0].unionByName(parts[1]), a.blacklisted_seqs))
-    tracks = written(pipelines.two_tracks(events, cfg))
-    called = cut_lineage(pipelines.called_peaks(written(pipelines.marked_tracks(tracks, cfg)), cfg))
+    tracks = pipelines.signal(events, cfg)
+    called = cut_lineage(pipelines.called_peaks(pipelines.marked_tracks(tracks, cfg), cfg))
     c1, c2, both = pk.filtered_overlaps(called.filter("track = 'c1'"), called.filter("track = 'c2'"), cfg.fraction_overlap)
     sinks.write_peaks(c1.unionByName(c2), both, a.out)
     for c in ("c1", "c2"):

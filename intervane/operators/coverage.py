@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from intervane.operators.shards import running_total, with_halo, with_neighbours
+from intervane.operators.shards import numbered, running_total, with_halo, with_neighbours
 
 
 def depth(intervals: DataFrame, keys: Sequence[str] = ("sample", "seqname"), shard_width: int = 1 << 20) -> DataFrame:
@@ -82,24 +82,15 @@ def numbered_events(events: DataFrame, keys: Sequence[str] = ("sample", "seqname
     """Events with a name by their place in the order of keys, location and id: the id, ``number`` (from 0) and ``name``.
 
     Names are ``event_`` and the number, padded to as many digits as the last
-    one needs. Numbers are the events before the entity, plus those before the
-    location (prefix sums over shards), plus the rank at the location, so nothing
-    is sorted as a whole. Events with a null key or location have no place and are
+    one needs. Rows are range-partitioned over the whole order (see
+    :func:`intervane.operators.shards.numbered`), so neither an entity nor a pile-up is
+    the work of one task. Events with a null key or location have no place and are
     left out; ids are expected to be unique.
     """
     keys = list(keys)
-    rows = events.select(*keys, "location", event_id).dropna(subset=[*keys, "location"])
-    spots = rows.groupBy(*keys, "location").agg(F.count("*").alias("n"))
-    entities = spots.groupBy(*keys).agg(F.sum("n").alias("total"))
-    earlier = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    # one row per entity
-    entities = entities.select(*keys, F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("ahead"), F.sum("total").over(Window.partitionBy()).alias("all_events"))
-    places = running_total(spots, keys, "location", "n", "upto").join(entities, keys)
-    rank = F.row_number().over(Window.partitionBy(*keys, "location").orderBy(event_id))
-    number = F.col("ahead") + F.col("upto") - F.col("n") + rank - 1
-    digits = F.length((F.col("all_events") - 1).cast("string"))
-    numbered = rows.join(places, [*keys, "location"]).withColumn("number", number)
-    return numbered.select(event_id, "number", F.concat(F.lit("event_"), F.lpad(F.col("number").cast("string"), digits, F.lit("0"))).alias("name"))
+    rows = numbered(events.select(*keys, "location", event_id).dropna(subset=[*keys, "location"]), [*keys, "location", event_id], "number")
+    digits = F.length(rows.agg(F.max("number")).scalar().cast("string"))
+    return rows.select(event_id, "number", F.concat(F.lit("event_"), F.lpad(F.col("number").cast("string"), digits, F.lit("0"))).alias("name"))
 
 
 def location_medians(events: DataFrame, keys: Sequence[str] = ("sample", "seqname")) -> DataFrame:
@@ -114,25 +105,38 @@ def location_medians(events: DataFrame, keys: Sequence[str] = ("sample", "seqnam
     return ranked.join(totals, keys).filter(middle).groupBy(*keys, "n_locations").agg(F.avg("location").cast("bigint").alias("median_location"))
 
 
-def weighted_quantile(rows: DataFrame, keys: Sequence[str], value: str, weight: str, share: float) -> DataFrame:
+def _around_rank(counts: DataFrame, keys: list[str], bucket: Column) -> DataFrame:
+    """Rows of ``counts`` in the buckets that hold the ranks next to ``rank``; ``ahead``, the weight before the rows, is moved on."""
+    counts = counts.withColumn("bucket", bucket)
+    order = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    buckets = counts.groupBy(*keys, "bucket", "rank", "ahead").agg(F.sum("n").alias("inside")).withColumn("upto", F.col("ahead") + F.sum("inside").over(order))
+    held = buckets.filter((F.col("upto") > F.floor("rank")) & (F.col("upto") - F.col("inside") <= F.ceil("rank")))
+    held = held.select(*keys, "bucket", F.min(F.col("upto") - F.col("inside")).over(Window.partitionBy(*keys)).alias("moved"))
+    return counts.join(held, [*keys, "bucket"]).drop("ahead", "bucket").withColumnRenamed("moved", "ahead")
+
+
+def weighted_quantile(rows: DataFrame, keys: Sequence[str], value: str, weight: str, share: float | DataFrame) -> DataFrame:
     """Exact linearly interpolated quantile per entity: the keys and ``quantile``.
 
-    A row counts ``weight`` times. Equal values are added up, values are put into
-    monotone buckets (1024 per doubling), and only the buckets that hold the wanted
-    ranks are looked into, so no entity is gathered or sorted as a whole.
+    A row counts ``weight`` times; ``share`` is one for all or a table of the keys and
+    ``share``. Equal values are added up, values are put into monotone buckets (1024 per
+    doubling), and the few buckets that hold the wanted ranks into 4096 even slices;
+    only slices that hold them are looked into, so no entity is gathered or sorted
+    as a whole.
     """
     keys = list(keys)
-    counts = rows.dropna(subset=[*keys, value, weight]).groupBy(*keys, value).agg(F.sum(weight).alias("n")).filter("n > 0")
-    counts = counts.withColumn("bucket", F.floor(F.signum(value) * F.log2(1 + F.abs(value)) * 1024))
-    order = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    buckets = counts.groupBy(*keys, "bucket").agg(F.sum("n").alias("inside")).withColumn("upto", F.sum("inside").over(order))
-    buckets = buckets.withColumn("rank", (F.sum("inside").over(Window.partitionBy(*keys)) - 1) * share)
-    wanted = buckets.filter((F.col("upto") > F.floor("rank")) & (F.col("upto") - F.col("inside") <= F.ceil("rank")))
-    inner = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    first = wanted.groupBy(*keys, "rank").agg(F.min(F.col("upto") - F.col("inside")).alias("shift"))
-    near = counts.join(wanted.select(*keys, "bucket"), [*keys, "bucket"]).join(first, keys).withColumn("cum", F.col("shift") + F.sum("n").over(inner))
-    low = F.min(F.when(F.col("cum") > F.floor("rank"), F.col(value)))
-    high = F.min(F.when(F.col("cum") > F.ceil("rank"), F.col(value)))
+    counts = rows.dropna(subset=[*keys, value, weight]).groupBy(*keys, F.col(value).cast("double").alias("value")).agg(F.sum(weight).alias("n")).filter("n > 0")
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
+    totals = totals.join(share, keys) if isinstance(share, DataFrame) else totals.withColumn("share", F.lit(share))
+    ranked = counts.join(totals.select(*keys, ((F.col("total") - 1) * F.col("share")).alias("rank")), keys).withColumn("ahead", F.lit(0).cast("bigint"))
+    near = _around_rank(ranked, keys, F.floor(F.signum("value") * F.log2(1 + F.abs("value")) * 1024))
+    ends = near.groupBy(*keys).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    slice_ = F.floor(F.coalesce(F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0)) * 4096)
+    near = _around_rank(near.join(ends, keys), keys, slice_)
+    upto = F.col("ahead") + F.sum("n").over(Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    near = near.withColumn("upto", upto)
+    low = F.min(F.when(F.col("upto") > F.floor("rank"), F.col("value")))
+    high = F.min(F.when(F.col("upto") > F.ceil("rank"), F.col("value")))
     return near.groupBy(*keys, "rank").agg(low.alias("a"), high.alias("b")).select(*keys, (F.col("a") + (F.col("rank") - F.floor("rank")) * (F.col("b") - F.col("a"))).alias("quantile"))
 
 

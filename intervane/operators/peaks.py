@@ -27,9 +27,21 @@ def target_fractions(totals: DataFrame, fraction_in_peaks: float = 0.5) -> DataF
     )
 
 
-def signal_bounds(signal: DataFrame, track: str, fraction: float) -> DataFrame:
-    """The value of ``track`` that the share ``fraction`` of all cuts exceeds: one row, ``quantile``. ``signal`` has n_cuts per position."""
-    return weighted_quantile(signal.filter("n_cuts > 0").withColumn("__all", F.lit(1)), ["__all"], track, "n_cuts", 1 - fraction).select("quantile")
+def signal_bounds(signal: DataFrame, fractions: DataFrame) -> DataFrame:
+    """Per track the value that the wanted share of all cuts exceeds: track, ``quantile``.
+
+    ``signal``: track, value, n_cuts. ``fractions``: track, fraction.
+    """
+    shares = fractions.select("track", (1 - F.col("fraction")).alias("share"))
+    rows = signal.filter("n_cuts > 0").groupBy("track", "value").agg(F.sum("n_cuts").alias("n_cuts"))
+    return weighted_quantile(rows, ["track"], "value", "n_cuts", shares).select("track", "quantile")
+
+
+def selected_shares(marked: DataFrame) -> DataFrame:
+    """Per track the grid positions, those in peaks and their share: track, n_positions, n_selected, share."""
+    both = F.array(*(F.struct(F.lit(c).alias("track"), F.col(f"{c}_peak").cast("bigint").alias("flag")) for c in ("c1", "c2")))
+    sums = marked.select(F.explode(both).alias("x")).groupBy("x.track").agg(F.count("*").alias("n_positions"), F.sum("x.flag").alias("n_selected"))
+    return sums.withColumn("share", F.try_divide("n_selected", "n_positions"))
 
 
 def peak_flag(raw: Column, bound: Column, smooth: Column | None = None) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from intervane.operators.shards import running_before, shard_of
+from intervane.session import written
 
 
 def periods(
@@ -32,8 +33,10 @@ def periods(
 
     An entity is cut into shards of ``shard_width`` start positions. Intervals
     with equal starts are first reduced to one row with the largest end (partial
-    aggregation before the shuffle), which bounds a shard's rows by its width;
-    running maximum and label offset pass between shards through one row per shard.
+    aggregation before the shuffle), which bounds a shard's rows by its width. What a
+    shard makes of its own intervals is written once, so the input is read, and
+    whatever computes it runs, only once; the running maximum and the label of the last
+    opening pass between shards through one row per shard.
 
     A null key or coordinate and an empty or reversed interval are left out.
     """
@@ -53,24 +56,27 @@ def periods(
         .groupBy(*cells, shard_of("s", shard_width).alias("shard"), "s")
         .agg(F.max("e").alias("e"), *add)
     )
-    reached = running_before(spots.groupBy(*cells, "shard").agg(F.max("e").alias("top")), cells, "shard", F.max("top"), "carried")
     inside = Window.partitionBy(*cells, "shard").orderBy("s")
-    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.col("reach")
-    opens = reach.isNull() | (F.col("s") > reach if touching else F.col("s") >= reach)
-    flagged = (
-        spots.join(reached.drop("top"), [*cells, "shard"])
-        .withColumn("reach", F.greatest(F.max("e").over(earlier), F.col("carried")))
-        .withColumn("opens", opens.cast("bigint"))
-        .withColumn("local", F.sum("opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    )
-    pieces = flagged.groupBy(*cells, "shard", "local").agg(
-        F.min("s").alias("s"), F.max("e").alias("e"), F.max("opens").alias("opens"), F.max(F.when(F.col("opens") == 1, reach)).alias("reach"), *add
+
+    def opens(reach: Column) -> Column:
+        return reach.isNull() | (F.col("s") > reach if touching else F.col("s") >= reach)
+
+    local = (
+        spots.withColumn("reach", F.max("e").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+        .withColumn("label", F.sum(opens(F.col("reach")).cast("bigint")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(*cells, "shard", "label")
+        .agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min_by("reach", "s").alias("reach"), *add)
     )
-    offsets = running_before(pieces.groupBy(*cells, "shard").agg(F.sum("opens").alias("opened")), cells, "shard", F.sum("opened"), "offset")
+    pieces = written(local.drop("label"))
+    shards = pieces.groupBy(*cells, "shard").agg(F.max("e").alias("top"), F.max("s").alias("s"))
+    shards = running_before(shards, cells, "shard", F.max("top"), "carried").withColumn("opening", F.when(opens(F.col("carried")), F.col("s")))
+    shards = running_before(shards, cells, "shard", F.max("opening"), "open").select(*cells, "shard", "carried", "open")
+    fresh = opens(F.col("carried"))
     labelled = (
-        pieces.join(offsets.drop("opened"), [*cells, "shard"])
-        .groupBy(*cells, (F.col("local") + F.coalesce("offset", F.lit(0))).alias("label"))
+        pieces.join(shards, [*cells, "shard"])
+        .withColumn("label", F.when(fresh, F.col("s")).otherwise(F.col("open")))
+        .withColumn("reach", F.when(fresh, F.greatest("reach", "carried")))
+        .groupBy(*cells, "label")
         .agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max("reach").alias("reach"), *add)
     )
     names = [F.col(c).alias(k) for k, c in zip(keys, cells, strict=True)]

@@ -53,6 +53,18 @@ def gaussian_weights(sigma: float) -> np.ndarray:
     return weights / weights.sum()
 
 
+def mirrored_filter(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """``values`` filtered with symmetric ``weights``, mirrored beyond their ends (the end value twice).
+
+    Mirroring makes them one period of a sequence twice as long, so the filter is a
+    circular convolution with the weights folded onto that period.
+    """
+    period, reach = 2 * len(values), len(weights) // 2
+    folded = np.bincount(np.arange(-reach, reach + 1) % period, weights, minlength=period)
+    both = np.concatenate((values, values[::-1]))
+    return np.fft.irfft(np.fft.rfft(both) * np.fft.rfft(folded), period)[: len(values)]
+
+
 def smoothed(track: DataFrame, keys: Sequence[str], values: Sequence[str], width: int, span: int, shard_width: int = 1 << 18) -> DataFrame:
     """``track`` with ``<value>_smooth``: a Gaussian filter of ``width`` positions along each interval.
 

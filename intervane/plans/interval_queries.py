@@ -223,12 +223,12 @@ def _events(spark: SparkSession, folder: str) -> DataFrame:
     return pipelines.events_of_targets(table(spark, folder, "fragments"))
 
 
-def _tracks(spark: SparkSession, folder: str) -> DataFrame:
-    return written(pipelines.two_tracks(_events(spark, folder), PEAKS))
+def _signal(spark: SparkSession, folder: str, cfg: PeakConfig) -> DataFrame:
+    return pipelines.signal(_events(spark, folder), cfg)
 
 
 def _marked(spark: SparkSession, folder: str, cfg: PeakConfig) -> DataFrame:
-    return written(pipelines.marked_tracks(_tracks(spark, folder), cfg))
+    return pipelines.marked_tracks(_signal(spark, folder, cfg), cfg)
 
 
 def _peaks(marked: DataFrame, cfg: PeakConfig) -> tuple[DataFrame, DataFrame]:
@@ -262,14 +262,15 @@ def two_tracks(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def quantile_bounds(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _tracks(spark, folder).withColumn("n_cuts", F.col("n_c1") + F.col("n_c2"))
-    bounds = [peaks.signal_bounds(rows, c, 0.25).select(F.lit(c).alias("track"), "quantile") for c in ("c1", "c2")]
-    return rounded(bounds[0].unionByName(bounds[1]), "quantile")
+    rows = pipelines.cut_signals(pipelines.signal(_events(spark, folder), PEAKS, smooth=False))
+    fractions = spark.createDataFrame([("c1", 0.25), ("c2", 0.25)], "track STRING, fraction DOUBLE")
+    return rounded(peaks.signal_bounds(rows, fractions), "quantile")
 
 
 @query
 def gaussian_smooth(spark: SparkSession, folder: str, cfg: PeakConfig = PEAKS) -> DataFrame:
-    return rounded(pipelines.smooth_tracks(_tracks(spark, folder), cfg).select("seqname", "location", "c2_smooth"), "c2_smooth")
+    rows = pipelines.smooth_tracks(pipelines.two_tracks(_events(spark, folder), cfg), cfg)
+    return rounded(rows.select("seqname", "location", "c2_smooth"), "c2_smooth")
 
 
 @query

@@ -14,7 +14,7 @@ from intervane.operators import peaks as pk
 from intervane.operators.periods import extended
 from intervane.operators.range_join import points_in_intervals
 from intervane.operators.tracks import smoothed
-from intervane.session import cut_lineage
+from intervane.session import cut_lineage, written
 
 
 def prepared_events(fragments: DataFrame, blacklist: DataFrame, cfg: PrepConfig) -> DataFrame:
@@ -33,7 +33,7 @@ def prepared_events(fragments: DataFrame, blacklist: DataFrame, cfg: PrepConfig)
 def prepare(fragments: DataFrame, blacklist: DataFrame, cfg: PrepConfig | None = None) -> DataFrame:
     """Work packages with their memory and chunk: dense regions, widened, merged, divided and packed."""
     cfg = cfg or PrepConfig()
-    events = cut_lineage(prepared_events(fragments, blacklist, cfg).select("seqname", "location"))
+    events = written(prepared_events(fragments, blacklist, cfg).select("seqname", "location"))
     dense = kde.dense_intervals(events, threshold=cfg.threshold, padding=cfg.selection_padding, bandwidth=cfg.bandwidth)
     regions = cut_lineage(extended(dense, padding=cfg.region_padding))
     reaches = tuple(covariance(c).reach(cfg.sparsity_threshold) for c in (cfg.c1_cov, cfg.c2_cov))
@@ -41,6 +41,12 @@ def prepare(fragments: DataFrame, blacklist: DataFrame, cfg: PrepConfig | None =
     return pack.work_chunks(packages, cfg.memory_target, cfg.seed)
 
 
+def signal(events: DataFrame, cfg: PeakConfig | None = None, smooth: bool = True) -> DataFrame:
+    """Signal of two targets on a shared grid, smoothed as the settings say, written once: see :func:`density.two_densities`."""
+    cfg = cfg or PeakConfig()
+    return written(kde.two_densities(events, cfg.bandwidth, cfg.span, smooth=cfg.smooth if smooth else None))
+
+
 def two_tracks(events: DataFrame, cfg: PeakConfig | None = None) -> DataFrame:
     """Signal of two targets on a shared grid: seqname, location, interval_start, interval_end, c1, c2, n_c1, n_c2.
 
@@ -49,11 +55,11 @@ def two_tracks(events: DataFrame, cfg: PeakConfig | None = None) -> DataFrame:
     holes; n_c1 and n_c2 are the cuts at or after a position and before the next.
     """
     cfg = cfg or PeakConfig()
-    return kde.two_densities(events, cfg.bandwidth, cfg.span)
+    return kde.with_intervals(signal(events, cfg, smooth=False), cfg.span)
 
 
 def smooth_tracks(tracks: DataFrame, cfg: PeakConfig | None = None) -> DataFrame:
-    """``tracks`` with ``c1_smooth`` and ``c2_smooth`` where the settings smooth a track."""
+    """``tracks`` of any origin with ``c1_smooth`` and ``c2_smooth`` where the settings smooth a track."""
     cfg = cfg or PeakConfig()
     out = tracks
     for c in ("c1", "c2"):
@@ -62,27 +68,37 @@ def smooth_tracks(tracks: DataFrame, cfg: PeakConfig | None = None) -> DataFrame
     return out
 
 
-def marked_tracks(tracks: DataFrame, cfg: PeakConfig | None = None) -> DataFrame:
-    """``tracks`` with ``c1_peak`` and ``c2_peak``: positions above the bound that the wanted share of the cuts exceeds."""
+def cut_signals(signal: DataFrame) -> DataFrame:
+    """Signal of either track at the grid positions that hold cuts: track, value, n_cuts."""
+    both = F.array(*(F.struct(F.lit(c).alias("track"), F.col(c).alias("value")) for c in ("c1", "c2")))
+    held = signal.select("c1", "c2", (F.col("n_c1") + F.col("n_c2")).alias("n_cuts")).filter("n_cuts > 0")
+    return held.select("n_cuts", F.explode(both).alias("x")).select("x.track", "x.value", "n_cuts")
+
+
+def marked_tracks(signal: DataFrame, cfg: PeakConfig | None = None) -> DataFrame:
+    """``signal`` with ``c1_peak`` and ``c2_peak``: positions above the bound that the wanted share of the cuts exceeds.
+
+    Both bounds come from one pass over the positions that hold cuts, and are two rows.
+    """
     cfg = cfg or PeakConfig()
-    rows = smooth_tracks(tracks, cfg)
-    totals = tracks.agg(F.sum("n_c1").alias("c1"), F.sum("n_c2").alias("c2")).selectExpr("stack(2, 'c1', c1, 'c2', c2) AS (track, n_cuts)")
-    wanted = {r["track"]: r["fraction"] or 0.0 for r in pk.target_fractions(totals, cfg.fraction_in_peaks).collect()}  # two rows
+    totals = signal.agg(F.sum("n_c1").alias("c1"), F.sum("n_c2").alias("c2")).selectExpr("stack(2, 'c1', c1, 'c2', c2) AS (track, n_cuts)")
+    wanted = pk.target_fractions(totals, cfg.fraction_in_peaks).select("track", F.coalesce("fraction", F.lit(0.0)).alias("fraction"))
+    bounds = cut_lineage(pk.signal_bounds(cut_signals(signal), wanted))
+    flags = {}
     for c in ("c1", "c2"):
-        cuts = tracks.select(c, (F.col("n_c1") + F.col("n_c2")).alias("n_cuts"))
-        bound = pk.signal_bounds(cuts, c, wanted[c]).select("quantile").scalar()
-        rows = rows.withColumn(f"{c}_peak", pk.peak_flag(F.col(c), bound, F.col(f"{c}_smooth") if cfg.smooth[c] else None))
-    return rows
+        bound = bounds.filter(F.col("track") == c).select("quantile").scalar()
+        flags[f"{c}_peak"] = pk.peak_flag(F.col(c), bound, F.col(f"{c}_smooth") if cfg.smooth[c] else None)
+    return signal.withColumns(flags)
 
 
 def called_peaks(marked: DataFrame, cfg: PeakConfig | None = None) -> DataFrame:
     """Peaks of both tracks longer than their least size: track, seqname, start_, end_, mean, summit, length, name, auc."""
     cfg = cfg or PeakConfig()
-    parts = []
-    for c in ("c1", "c2"):
-        found = pk.islands(marked, c, F.col(f"{c}_peak"), step=cfg.span).filter(F.col("length") > cfg.min_size[c])
-        parts.append(pk.with_auc(pk.named(found.withColumn("track", F.lit(c)), F.col("track"))))
-    return parts[0].unionByName(parts[1])
+    both = F.array(*(F.when(F.col(f"{c}_peak"), F.struct(F.lit(c).alias("track"), F.col(c).alias("value"))) for c in ("c1", "c2")))
+    flagged = marked.filter("c1_peak OR c2_peak").select("seqname", "location", F.explode(F.array_compact(both)).alias("x")).select("x.track", "seqname", "location", "x.value")
+    least = F.when(F.col("track") == "c1", cfg.min_size["c1"]).otherwise(cfg.min_size["c2"])
+    found = pk.islands(flagged, "value", F.lit(True), ("track", "seqname"), cfg.span).filter(F.col("length") > least)
+    return pk.with_auc(pk.named(found, F.col("track")))
 
 
 def events_of_targets(fragments: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from intervane.errors import ArgumentError
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
@@ -14,10 +15,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, named in ``spark.checkpoint.dir``; only a session without that setting gets a folder of its own."""
+    """The folder for intermediate data, named by the cluster in ``spark.checkpoint.dir``.
+
+    Only a session of one machine may leave it unset; it then gets a folder among
+    the files of the session, which Spark removes with it. On a cluster that is an error,
+    since executors would not find such a folder.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named:
+            if context.master.split("[")[0] != "local":
+                raise ArgumentError("spark.checkpoint.dir must name a folder that all executors share")
+            named = f"{context._jvm.org.apache.spark.SparkFiles.getRootDirectory()}/checkpoints"
+        context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
@@ -28,7 +39,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: for large results, of which later steps read some columns each."""
+    """``df`` as a Parquet table in the shared folder, of which later steps read some columns each; removed when the session ends."""
+    context = df.sparkSession.sparkContext
     path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
     df.write.parquet(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
     return df.sparkSession.read.parquet(path)

@@ -113,7 +113,8 @@ def test_density_and_dense_intervals(spark):
                 near[seq, g] = sum(math.exp(-0.5 * (t / 50) ** 2) for t in d) * 100 / (50 * math.sqrt(2 * math.pi))
     got = {(r["seqname"], r["location"]): r["density"] for r in density.density(df, shard_width=512, **kernel).collect()}
     assert got.keys() == near.keys() and all(got[k] == pytest.approx(near[k]) for k in near)
-    both = density.two_densities(df, shard_width=512, **kernel).collect()
+    raw = density.two_densities(df, shard_width=512, smooth={"c2": 40}, **kernel).cache()
+    both = density.with_intervals(raw, 10, 512).collect()
     assert {(r["seqname"], r["location"]) for r in both} == set(near)
     assert all(r["c1"] + r["c2"] == pytest.approx(near[r["seqname"], r["location"]]) for r in both)
     assert sum(r["n_c1"] + r["n_c2"] for r in both) == 122
@@ -121,6 +122,10 @@ def test_density_and_dense_intervals(spark):
         assert r["interval_start"] <= r["location"] <= r["interval_end"]
         assert all((r["seqname"], g) in near for g in range(r["interval_start"], r["interval_end"] + 1, 10))
         assert (r["seqname"], r["interval_start"] - 10) not in near and (r["seqname"], r["interval_end"] + 10) not in near
+    for width in (512, 1 << 20):
+        ready = density.with_intervals(density.two_densities(df, shard_width=width, smooth={"c2": 40}, **kernel).cache(), 10, width)
+        other = tracks.smoothed(ready.withColumnRenamed("c2_smooth", "whole"), ["seqname"], ["c2"], 40, 10).collect()
+        assert len(other) == len(both) and all(r["c2_smooth"] == pytest.approx(r["whole"], abs=1e-9) for r in other)
     dense = density.dense_intervals(df, threshold=2.0, padding=40, **kernel).collect()
     for r in dense:
         chosen = [g for s, g in near if s == r["seqname"] and near[s, g] > 2.0 and r["start_"] <= g <= r["end_"]]
