@@ -27,3 +27,11 @@ class BadCovariance(ValueError):
 
 class ArgumentError(ValueError):
     """A parameter is outside its range."""
+
+
+class RegionTooSmall(ValueError):
+    """A region is too short to be divided."""
+
+
+class InvalidRegionBounds(ValueError):
+    """A region does not hold the events it should."""

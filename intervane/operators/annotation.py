@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from intervane.errors import NotARegion
 from intervane.functions.regions import read_region
+from intervane.operators.periods import periods
+from intervane.operators.range_join import points_in_intervals
+from intervane.operators.shards import in_rounds, numbered
 
 _LOOKUPS = ("gene_name", "gene_id", "transcript_id")
 
@@ -43,42 +46,59 @@ def resolved_feature(features: DataFrame, feature: str, padding: int = 0) -> Dat
     )
 
 
-def lanes(intervals: DataFrame, keys: list[str], padding: int = 0) -> DataFrame:
+def place_in_lanes(starts: list[int], ends: list[int], padding: int, busy: list[tuple[int, int]]) -> list[int]:
+    """Lane (0, 1, 2, ...) of every interval, taken in order; ``busy``, a heap of (end, lane), is brought up to date.
+
+    Lanes are freed as starts pass them, and the lowest free one is taken from a heap.
+    """
+    taken = {lane for _, lane in busy}
+    free = [lane for lane in range(max(taken, default=-1) + 1) if lane not in taken]
+    lanes_used, out = len(free) + len(taken), []
+    for start, end in zip(starts, ends, strict=True):
+        while busy and busy[0][0] + padding < start:
+            heapq.heappush(free, heapq.heappop(busy)[1])
+        if free:
+            lane = heapq.heappop(free)
+        else:
+            lane, lanes_used = lanes_used, lanes_used + 1
+        heapq.heappush(busy, (end, lane))
+        out.append(lane)
+    return out
+
+
+def lanes(intervals: DataFrame, keys: list[str], padding: int = 0, shard_rows: int = 100_000) -> DataFrame:
     """``intervals`` with ``lane``: the lowest of the levels 0, -2, -4, ... that is free from its start on.
 
     ``intervals``: the keys, start_, end_, interval_id, taken in order of start, end
-    and id. A lane is free ``padding`` after the end of the interval on it.
-    Intervals that do not touch (with the padding) need not know of each other, so the rows
-    are cut into stretches of touching intervals, and one task passes over each
-    stretch holding only the ends of its lanes.
+    and id. A lane is free once the end of the interval on it lies more than ``padding``
+    before the start. Intervals farther apart need not know of each other, so the rows
+    are cut into stretches; a stretch is cut into shards of ``shard_rows`` intervals,
+    and what goes from one shard to the next are the busy lanes (see
+    :func:`intervane.operators.shards.in_rounds`). Rows with a null and empty or reversed
+    intervals are left out.
     """
-    from intervane.operators.periods import periods
-    from intervane.operators.range_join import points_in_intervals
-
     rows = intervals.select(*keys, "start_", "end_", "interval_id").dropna().filter("start_ < end_")
     wide = rows.withColumn("end_", F.col("end_") + padding)
-    groups = periods(wide, keys, touching=False).select(*keys, "start_", (F.col("end_") - 1).alias("end_"))
+    groups = periods(wide, keys).select(*keys, "start_", (F.col("end_") - 1).alias("end_"))
     located = points_in_intervals(rows, groups, keys, location="start_").drop("i_end_", *(f"i_{k}" for k in keys))
-    order = [*keys, "i_start_", "start_", "end_", "interval_id"]
-    names = located.columns
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in located.schema)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, ends = None, []
-        for batch in batches:
-            columns = {c: batch.column(names.index(c)).to_pylist() for c in order}
-            out = []
-            for row in zip(*columns.values(), strict=True):
-                if row[: len(keys) + 1] != group:
-                    group, ends = row[: len(keys) + 1], []
-                start, end = row[-3], row[-2]
-                lane = next((i for i, e in enumerate(ends) if e + padding <= start), len(ends))
-                ends[lane : lane + 1] = [end]
-                out.append(-2 * lane)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=[*names, "lane"])
-
-    placed = located.repartition(*keys, "i_start_").sortWithinPartitions(*order).mapInArrow(assign, f"{schema}, lane INT")
-    return placed.drop("i_start_")
+    stretch = [*keys, "i_start_"]
+    ordered = numbered(located, [*stretch, "start_", "end_", "interval_id"], "number")
+    first = ordered.groupBy(*stretch).agg(F.min("number").alias("first"), F.count("*").alias("size"))
+    ordered = ordered.join(first, stretch).withColumn("turn", F.expr(f"(number - first) div {shard_rows}")).drop("first")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in located.schema) + ", lane INT, busy_end BIGINT, is_state BOOLEAN"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def step(key: tuple, shard: pd.DataFrame, left: pd.DataFrame) -> pd.DataFrame:
+        shard = shard.sort_values("number", ignore_index=True)
+        busy = sorted(zip(left["busy_end"].astype("int64").tolist(), left["lane"].astype("int64").tolist(), strict=True))
+        placed = place_in_lanes(shard["start_"].tolist(), shard["end_"].tolist(), padding, busy)
+        out = shard.assign(lane=[-2 * x for x in placed], busy_end=None, is_state=False)[names]
+        if len(shard) and (shard["turn"].iloc[0] + 1) * shard_rows < shard["size"].iloc[0]:
+            open_ = pd.DataFrame(busy, columns=["busy_end", "lane"]).assign(is_state=True, **dict(zip(stretch, key, strict=True)))
+            out = pd.concat([out.astype(object), open_.reindex(columns=names).astype(object)], ignore_index=True)
+        return out.convert_dtypes()
+
+    return in_rounds(ordered, stretch, "turn", step, schema).drop("i_start_", "busy_end")
 
 
 def features_in(features: DataFrame, bounds: DataFrame) -> DataFrame:

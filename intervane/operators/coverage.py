@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from intervane.operators.shards import numbered, running_total, with_halo, with_neighbours
+from intervane.session import written
 
 
 def depth(intervals: DataFrame, keys: Sequence[str] = ("sample", "seqname"), shard_width: int = 1 << 20) -> DataFrame:
@@ -105,34 +106,42 @@ def location_medians(events: DataFrame, keys: Sequence[str] = ("sample", "seqnam
     return ranked.join(totals, keys).filter(middle).groupBy(*keys, "n_locations").agg(F.avg("location").cast("bigint").alias("median_location"))
 
 
-def _around_rank(counts: DataFrame, keys: list[str], bucket: Column) -> DataFrame:
-    """Rows of ``counts`` in the buckets that hold the ranks next to ``rank``; ``ahead``, the weight before the rows, is moved on."""
-    counts = counts.withColumn("bucket", bucket)
+def _near_rank(counts: DataFrame, keys: list[str], bucket: Column, ranks: DataFrame | None = None, share: float | DataFrame = 0.0) -> DataFrame:
+    """Rows of ``counts`` in the buckets that hold the ranks next to the wanted one, with ``rank`` and ``ahead``, the weight before these rows.
+
+    ``ranks`` has both for rows that are already a part; without it they are worked out
+    from all of the counts and the ``share``. One row per bucket is ordered, no more.
+    """
+    buckets = counts.groupBy(*keys, bucket.alias("bucket")).agg(F.sum("n").alias("inside"))
+    if ranks is None:
+        buckets = buckets.join(share, keys) if isinstance(share, DataFrame) else buckets.withColumn("share", F.lit(share))
+        total = F.sum("inside").over(Window.partitionBy(*keys))
+        buckets = buckets.withColumns({"rank": (total - 1) * F.col("share"), "ahead": F.lit(0).cast("bigint")})
+    else:
+        buckets = buckets.join(ranks, keys)
     order = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    buckets = counts.groupBy(*keys, "bucket", "rank", "ahead").agg(F.sum("n").alias("inside")).withColumn("upto", F.col("ahead") + F.sum("inside").over(order))
+    buckets = buckets.withColumn("upto", F.col("ahead") + F.sum("inside").over(order))
     held = buckets.filter((F.col("upto") > F.floor("rank")) & (F.col("upto") - F.col("inside") <= F.ceil("rank")))
-    held = held.select(*keys, "bucket", F.min(F.col("upto") - F.col("inside")).over(Window.partitionBy(*keys)).alias("moved"))
-    return counts.join(held, [*keys, "bucket"]).drop("ahead", "bucket").withColumnRenamed("moved", "ahead")
+    held = held.select(*keys, "bucket", "rank", F.min(F.col("upto") - F.col("inside")).over(Window.partitionBy(*keys)).alias("ahead"))
+    return written(counts.withColumn("bucket", bucket).join(held, [*keys, "bucket"]).drop("bucket"))
 
 
 def weighted_quantile(rows: DataFrame, keys: Sequence[str], value: str, weight: str, share: float | DataFrame) -> DataFrame:
     """Exact linearly interpolated quantile per entity: the keys and ``quantile``.
 
     A row counts ``weight`` times; ``share`` is one for all or a table of the keys and
-    ``share``. Equal values are added up, values are put into monotone buckets (1024 per
-    doubling), and the few buckets that hold the wanted ranks into 4096 even slices;
-    only slices that hold them are looked into, so no entity is gathered or sorted
-    as a whole.
+    ``share``. Equal values are added up and written once, values are put into monotone
+    buckets (1024 per doubling), and the few buckets that hold the wanted ranks into 4096
+    even slices; only slices that hold them are looked into, so no entity is gathered
+    or sorted as a whole.
     """
     keys = list(keys)
-    counts = rows.dropna(subset=[*keys, value, weight]).groupBy(*keys, F.col(value).cast("double").alias("value")).agg(F.sum(weight).alias("n")).filter("n > 0")
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    totals = totals.join(share, keys) if isinstance(share, DataFrame) else totals.withColumn("share", F.lit(share))
-    ranked = counts.join(totals.select(*keys, ((F.col("total") - 1) * F.col("share")).alias("rank")), keys).withColumn("ahead", F.lit(0).cast("bigint"))
-    near = _around_rank(ranked, keys, F.floor(F.signum("value") * F.log2(1 + F.abs("value")) * 1024))
-    ends = near.groupBy(*keys).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    counts = written(rows.dropna(subset=[*keys, value, weight]).groupBy(*keys, F.col(value).cast("double").alias("value")).agg(F.sum(weight).alias("n")).filter("n > 0"))
+    near = _near_rank(counts, keys, F.floor(F.signum("value") * F.log2(1 + F.abs("value")) * 1024), share=share)
+    ends = near.groupBy(*keys, "rank", "ahead").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    spread = near.drop("rank", "ahead").join(ends.select(*keys, "low", "high"), keys)
     slice_ = F.floor(F.coalesce(F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0)) * 4096)
-    near = _around_rank(near.join(ends, keys), keys, slice_)
+    near = _near_rank(spread, keys, slice_, ranks=ends.select(*keys, "rank", "ahead"))
     upto = F.col("ahead") + F.sum("n").over(Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
     near = near.withColumn("upto", upto)
     low = F.min(F.when(F.col("upto") > F.floor("rank"), F.col("value")))

@@ -2,72 +2,125 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from intervane.errors import ArgumentError
+from intervane.errors import ArgumentError, InvalidRegionBounds, RegionTooSmall
+from intervane.operators.periods import covered_fraction
 from intervane.operators.range_join import points_in_intervals
+from intervane.operators.shards import in_rounds, running_totals, shard_of, with_halo
+from intervane.session import cut_lineage, written
 
 #: The memory model in GB per cut, location, stored covariance and package, and the overhead of a chunk.
 COST = {"cut": 1e-6, "location": 2.5e-5, "entry": 8e-9, "package": 1.2e-2}
 CHUNK_OVERHEAD = 0.094640381
 
-_PACKAGE = (
-    "seqname STRING, interval BIGINT, k INT, start_ BIGINT, end_ BIGINT, stitch_start BIGINT, stitch_end BIGINT, ncuts BIGINT, nlocs BIGINT, nnz1 BIGINT, nnz2 BIGINT"
-)
+def _first_at(values: np.ndarray, wanted: int) -> int:
+    """Index of the first of ascending ``values`` that is at least ``wanted``."""
+    return int(np.searchsorted(values, wanted, "left"))
 
 
-class Subdivider:
-    """Greedy overlapping windows over the sorted locations of one interval.
+def window_ends(at: np.ndarray, upto: np.ndarray, place: np.ndarray, begin: int, overlap: int, half_cuts: int, max_locs: int, state: dict) -> list[dict]:
+    """Windows that close at one of the locations ``at[begin:]``; ``state`` is brought up to the end of them.
 
-    A window closes once it has half of ``max_cuts`` cuts or ``max_locs`` locations and
-    its exclusive part is at least ``overlap`` long. That part, ``[stitch_start,
-    stitch_end)``, stops ``overlap`` before the window's last location; the next
-    window starts ``overlap`` before it. So exclusive parts tile the interval while
-    windows share about twice the overlap. All cuts of a location stay together.
-    Only the locations of the open window are held.
+    ``at`` are sorted locations of an interval, with those of the last two overlaps
+    before ``at[begin]``; ``upto`` and ``place`` are its cuts and locations up to each.
+    ``state``: from_ (stitch start, null until a location is an overlap inside the
+    interval), first (first location of the open window), cuts and locs (those before it), k.
+
+    A window closes at the first location c where both hold: it has ``half_cuts`` cuts
+    or ``max_locs`` locations, and the first location from c - overlap on, where its
+    exclusive part stops, lies an overlap or more beyond where that part began. The
+    first is a search in the sums; the second holds from the last location short of
+    that point, plus the overlap, on. The next window begins at the first location
+    within an overlap of the stop.
     """
+    found: list[dict] = []
+    if state["from_"] is None:
+        i = _first_at(at, state["low"] + overlap)
+        if i == len(at):
+            return found
+        state["from_"] = int(at[i])
+    while True:
+        full = min(_first_at(upto, state["cuts"] + half_cuts), _first_at(place, state["locs"] + max_locs))
+        short = _first_at(at, state["from_"] + overlap) - 1
+        long = _first_at(at, int(at[short]) + overlap + 1) if short >= 0 else 0
+        i = max(full, long, begin)
+        if i >= len(at):
+            return found
+        stop = _first_at(at, int(at[i]) - overlap)
+        to = int(at[stop])
+        found.append({"k": state["k"], "start_": state["first"], "end_": int(at[i]), "stitch_start": state["from_"], "stitch_end": to, "ncuts": int(upto[i]) - state["cuts"], "nlocs": int(place[i]) - state["locs"]})
+        following = _first_at(at, to - overlap)
+        before = int(upto[following - 1]) if following else state["floor_cuts"]
+        state.update(first=int(at[following]), cuts=before, locs=int(place[following]) - 1, from_=to, k=state["k"] + 1)
+        begin = i + 1
+
+
+_OPEN = "from_ BIGINT, first BIGINT, cuts BIGINT, locs BIGINT"
+_WINDOW = "seqname STRING, interval BIGINT, k INT, start_ BIGINT, end_ BIGINT, stitch_start BIGINT, stitch_end BIGINT, ncuts BIGINT, nlocs BIGINT"
+
+
+def _divided(spots: DataFrame, large: DataFrame, overlap: int, max_cuts: int, max_locs: int, shard_width: int) -> DataFrame:
+    """Windows of the ``large`` intervals: the columns of ``_WINDOW``.
+
+    Prefix sums are searched shard by shard (see :func:`window_ends`); what goes from
+    one to the next is one row per interval (see :func:`intervane.operators.shards.in_rounds`).
+    """
+    reached = F.col("location") - F.col("low")
+    # a location within two overlaps of the end of its shard is also looked at in the next one
+    turns = F.sequence(shard_of(reached, shard_width), F.least(shard_of(reached + 2 * overlap, shard_width), shard_of(F.col("final") - F.col("low"), shard_width)))
+    rows = written(spots.join(large.select("seqname", "interval", "low", "high", "final"), ["seqname", "interval"]).withColumn("turn", F.explode(turns)))
+
+    def step(key: tuple, shard: pd.DataFrame, left: pd.DataFrame) -> pd.DataFrame:
+        state = {"from_": None, "first": None, "cuts": 0, "locs": 0, "k": 0}
+        if len(left):
+            state = {c: None if pd.isna(left[c].iloc[0]) else int(left[c].iloc[0]) for c in state}
+        found: list[dict] = []
+        if len(shard):
+            shard = shard.sort_values("location", ignore_index=True)
+            at, upto, place = (shard[c].to_numpy() for c in ("location", "upto", "place"))
+            low, turn = int(shard["low"].iloc[0]), int(shard["turn"].iloc[0])
+            state |= {"low": low, "floor_cuts": int(upto[0] - shard["n"].iloc[0])}
+            state["first"] = int(at[0]) if state["first"] is None else state["first"]
+            found = window_ends(at, upto, place, _first_at(at, low + turn * shard_width), overlap, -(-max_cuts // 2), max_locs, state)
+        rest = {c: state[c] for c in ("k", "from_", "first", "cuts", "locs")} | {"is_state": True}
+        out = pd.DataFrame([*({**w, "is_state": False} for w in found), rest]).reindex(columns=[c.split()[0] for c in f"{_WINDOW}, {_OPEN}, is_state".split(", ")])
+        return out.assign(seqname=key[0], interval=key[1]).convert_dtypes()
+
+    passed = in_rounds(rows, ["seqname", "interval"], "turn", step, f"{_WINDOW}, {_OPEN}, is_state BOOLEAN", last_state=True)
+    closed = passed.filter("start_ IS NOT NULL").drop("from_", "first", "cuts", "locs")
+    rest = passed.filter("start_ IS NULL").select("seqname", "interval", "k", "from_", "first", "cuts", "locs").join(large, ["seqname", "interval"])
+    stop = F.greatest(F.col("high") - overlap, "from_")
+    last = rest.select(
+        "seqname", "interval", "k", F.col("first").alias("start_"), F.col("final").alias("end_"), F.col("from_").alias("stitch_start"), stop.alias("stitch_end"),
+        (F.col("ncuts") - F.col("cuts")).alias("ncuts"), (F.col("nlocs") - F.col("locs")).alias("nlocs"),
+    )
+    return closed.unionByName(last)
+
 
-    def __init__(self, start: int, end: int, overlap: int, max_cuts: int, max_locs: int):
-        self.start, self.end, self.overlap, self.max_cuts, self.max_locs = start, end, overlap, max_cuts, max_locs
-        self.at: list[int] = []
-        self.n: list[int] = []
-        self.cuts = 0
-        self.stitch_start = start + overlap
-        self.stitch = self.following = 0
-
-    def add(self, location: int, n: int) -> tuple | None:
-        """Take a location; the window that it closes, if any."""
-        self.at.append(location)
-        self.n.append(n)
-        self.cuts += n
-        while location - self.at[self.stitch] > self.overlap:
-            self.stitch += 1
-        while self.at[self.stitch] - self.at[self.following] > self.overlap:
-            self.following += 1
-        full = self.cuts * 2 >= self.max_cuts or len(self.at) >= self.max_locs
-        if not full or self.at[self.stitch] - self.stitch_start < self.overlap:
-            return None
-        closed = (self.stitch_start, self.at[self.stitch], np.array(self.at), self.cuts)
-        self.stitch_start = self.at[self.stitch]
-        drop = self.following
-        self.at, self.n = self.at[drop:], self.n[drop:]
-        self.cuts, self.stitch, self.following = sum(self.n), self.stitch - drop, 0
-        return closed
-
-    def last(self) -> tuple:
-        """The window that reaches the end of the interval."""
-        return self.stitch_start, max(self.end - self.overlap, self.stitch_start), np.array(self.at), self.cuts
-
-
-def _neighbours(at: np.ndarray, reach: int) -> int:
-    """Pairs of locations (both orders, and each with itself) closer than ``reach``."""
-    return int((np.searchsorted(at, at + reach, "left") - np.searchsorted(at, at - reach, "right")).sum())
+def _stored_pairs(spots: DataFrame, windows: DataFrame, reaches: tuple[int, int], shard_width: int) -> DataFrame:
+    """seqname, interval, k, nnz1, nnz2: pairs of locations of a window (both orders, and each with itself) closer than each reach."""
+    inside = points_in_intervals(spots.select("seqname", "interval", "location"), windows.select("seqname", "interval", "k", "start_", "end_"), ("seqname", "interval"))
+    halo = with_halo(inside.select("seqname", "interval", F.col("i_k").alias("k"), "location"), "location", max(reaches), shard_width)
+
+    def count(key: tuple, part: pa.Table) -> pa.Table:
+        at, own = part["location"].to_numpy(), part["own"].to_numpy()
+        here, at = np.sort(at[own]), np.sort(at)
+        pairs = [int((np.searchsorted(at, here + r, "left") - np.searchsorted(at, here - r, "right")).sum()) for r in reaches]
+        return pa.table({c: [v] for c, v in zip(("seqname", "interval", "k"), key, strict=False)} | {f"nnz{i + 1}": pa.array([p]) for i, p in enumerate(pairs)})
+
+    parts = halo.groupBy("seqname", "interval", "k", "shard").applyInArrow(count, "seqname STRING, interval BIGINT, k INT, nnz1 BIGINT, nnz2 BIGINT")
+    return parts.groupBy("seqname", "interval", "k").agg(F.sum("nnz1").alias("nnz1"), F.sum("nnz2").alias("nnz2"))
+
+
+def _counted(events: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Events per interval (known by its start) and location."""
+    spots = events.select("seqname", "location").groupBy("seqname", "location").agg(F.count("*").alias("n"))
+    return points_in_intervals(spots, intervals.select("seqname", "start_", "end_")).select("seqname", F.col("i_start_").alias("interval"), "location", "n")
 
 
 def work_packages(
@@ -77,6 +130,7 @@ def work_packages(
     max_cuts: int = 15_000_000,
     max_locs: int = 10_000_000,
     reaches: tuple[int, int] = (6217, 24868),
+    shard_width: int = 1 << 22,
 ) -> DataFrame:
     """Windows over the events of disjoint intervals, with their size and memory in GB.
 
@@ -85,54 +139,75 @@ def work_packages(
     stitch_start, stitch_end (the exclusive part, half-open), ncuts, nlocs, nnz1,
     nnz2 (stored covariances for the two kernel ``reaches``), is_subdivide, memory.
 
-    The first and last interval of a sequence are widened by one and a half
-    overlaps, so their outer edges are not trimmed; an interval of at most twice the
-    overlap gives one window. Events are counted per interval and location first;
-    one task then passes over the locations of an interval in order and holds only
-    the open window.
+    A window closes once it has half of ``max_cuts`` cuts or ``max_locs`` locations and
+    its exclusive part is at least ``overlap`` long. That part stops at the first
+    location within ``overlap`` of the window's last one; the next window starts at the
+    first within ``overlap`` of the stop. So exclusive parts tile the interval while
+    windows share about twice the overlap. All cuts of a location stay together. The
+    first and last interval of a sequence are widened by one and a half overlaps, so
+    their outer edges are not trimmed; an interval of at most twice the overlap gives one window.
+
+    Events are counted per interval and location first. Most intervals are within the
+    limits and are one window by aggregation alone. Prefix sums of the others are
+    searched for the ends of windows in shards of ``shard_width`` positions, so that
+    no task holds an interval; pairs are counted in shards too.
     """
     if overlap < 1 or max_cuts < 1 or max_locs < 1:
         raise ArgumentError("overlap and limits must be positive")
-    spots = points_in_intervals(events.select("seqname", "location").groupBy("seqname", "location").agg(F.count("*").alias("n")), intervals.select("seqname", "start_", "end_"))
-    outer = intervals.groupBy("seqname").agg(F.min("start_").alias("first"), F.max("end_").alias("final"))
+    key = ["seqname", "interval"]
+    spots = written(_counted(events, intervals))
+    outer = intervals.groupBy("seqname").agg(F.min("start_").alias("outer_start"), F.max("end_").alias("outer_end"))
     wide = int(1.5 * overlap)
-    rows = spots.join(outer, "seqname").select(
+    bounds = intervals.join(outer, "seqname").select(
         "seqname",
-        F.col("i_start_").alias("interval"),
-        F.when(F.col("i_start_") == F.col("first"), F.col("i_start_") - wide).otherwise(F.col("i_start_")).alias("low"),
-        F.when(F.col("i_end_") == F.col("final"), F.col("i_end_") + wide).otherwise(F.col("i_end_")).alias("high"),
-        "location",
-        "n",
+        F.col("start_").alias("interval"),
+        F.when(F.col("start_") == F.col("outer_start"), F.col("start_") - wide).otherwise(F.col("start_")).alias("low"),
+        F.when(F.col("end_") == F.col("outer_end"), F.col("end_") + wide).otherwise(F.col("end_")).alias("high"),
     )
-
-    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, divider, k, found = None, None, 0, []
-
-        def close(window: tuple) -> None:
-            nonlocal k
-            left, right, at, cuts = window
-            found.append((*current, k, int(at[0]), int(at[-1]), left, right, cuts, len(at), *(_neighbours(at, r) for r in reaches)))
-            k += 1
-
-        for batch in batches:
-            for seqname, interval, low, high, location, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if current != (seqname, interval):
-                    if divider is not None:
-                        close(divider.last())
-                    current, k = (seqname, interval), 0
-                    divider = Subdivider(low, high, overlap, max_cuts, max_locs)
-                if (window := divider.add(location, n)) is not None:
-                    close(window)
-        if divider is not None:
-            close(divider.last())
-        if found:
-            names = [x.split()[0] for x in _PACKAGE.split(", ")]
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(found, columns=names).astype({"k": "int32"}), preserve_index=False)
-
-    windows = rows.repartition("seqname", "interval").sortWithinPartitions("seqname", "interval", "location").mapInArrow(divide, _PACKAGE)
+    sizes = spots.groupBy(*key).agg(F.min("location").alias("start_"), F.max("location").alias("final"), F.sum("n").alias("ncuts"), F.count("*").alias("nlocs"))
+    full = (2 * F.col("ncuts") >= max_cuts) | (F.col("nlocs") >= max_locs)
+    sizes = cut_lineage(sizes.join(bounds, key).withColumn("is_large", full & (F.col("final") >= F.col("low") + 2 * overlap)))
+    begin = F.col("low") + overlap
+    whole = sizes.filter("NOT is_large").select(*key, F.lit(0).alias("k"), "start_", F.col("final").alias("end_"), begin.alias("stitch_start"), F.greatest(F.col("high") - overlap, begin).alias("stitch_end"), "ncuts", "nlocs")
+    large = sizes.filter("is_large").drop("start_", "is_large")
+    sums = running_totals(spots.join(large.select(*key), key, "left_semi").withColumn("one", F.lit(1).cast("bigint")), key, "location", {"upto": "n", "place": "one"}).drop("one")
+    windows = cut_lineage(whole.unionByName(_divided(sums, large, overlap, max_cuts, max_locs, shard_width)))
     memory = F.col("ncuts") * COST["cut"] + F.col("nlocs") * COST["location"] + (F.col("nnz1") + F.col("nnz2")) * COST["entry"] + COST["package"]
-    divided = F.count("*").over(Window.partitionBy("seqname", "interval")) > 1
-    return windows.withColumn("is_subdivide", divided).withColumn("memory", memory)
+    divided = F.max("k").over(Window.partitionBy(*key)) > 0
+    return windows.join(_stored_pairs(spots, windows, reaches, 1 << 20), [*key, "k"]).withColumn("is_subdivide", divided).withColumn("memory", memory)
+
+
+def check_bounds(events: DataFrame, intervals: DataFrame, overlap: int = 10_000) -> DataFrame:
+    """``intervals``, or :class:`RegionTooSmall` if one is at most twice the overlap long, or :class:`InvalidRegionBounds` if an event of its sequence lies in none."""
+    small = intervals.filter(F.col("end_") - F.col("start_") <= 2 * overlap).select("seqname", "start_", "end_").first()
+    if small:
+        raise RegionTooSmall(f"{small['seqname']}:{small['start_']}-{small['end_']} is at most twice the overlap of {overlap}")
+    outside = points_in_intervals(events.select("seqname", "location").dropna(), intervals.select("seqname", "start_", "end_"), how="left_anti").first()
+    if outside:
+        raise InvalidRegionBounds(f"{outside['seqname']}:{outside['location']} lies in no region")
+    return intervals
+
+
+def in_packages(rows: DataFrame, packages: DataFrame) -> DataFrame:
+    """Rows (seqname, location and others) once for every package that holds them, with interval and k."""
+    hits = points_in_intervals(rows, packages.select("seqname", "interval", "k", "start_", "end_"))
+    return hits.select(*rows.columns, F.col("i_interval").alias("interval"), F.col("i_k").alias("k"))
+
+
+def stitched(rows: DataFrame, packages: DataFrame) -> DataFrame:
+    """Rows of packages (seqname, interval, k, location and others) cut to the exclusive part of their package.
+
+    What packages compute at their locations, looking at most an overlap far, is then
+    there once and equals what the whole interval gives; nothing is counted twice.
+    """
+    part = packages.select("seqname", "interval", "k", "stitch_start", "stitch_end")
+    cut = rows.join(part, ["seqname", "interval", "k"]).filter("location >= stitch_start AND location < stitch_end")
+    return cut.drop("stitch_start", "stitch_end")
+
+
+def exclusive_coverage(packages: DataFrame) -> DataFrame:
+    """One row: summed lengths of the exclusive parts, summed reach of the sequences, and the fraction; overlaps count once."""
+    return covered_fraction(packages.select("seqname", F.col("stitch_start").alias("start_"), F.col("stitch_end").alias("end_")))
 
 
 def package_names(packages: DataFrame) -> DataFrame:

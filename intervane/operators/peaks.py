@@ -33,8 +33,7 @@ def signal_bounds(signal: DataFrame, fractions: DataFrame) -> DataFrame:
     ``signal``: track, value, n_cuts. ``fractions``: track, fraction.
     """
     shares = fractions.select("track", (1 - F.col("fraction")).alias("share"))
-    rows = signal.filter("n_cuts > 0").groupBy("track", "value").agg(F.sum("n_cuts").alias("n_cuts"))
-    return weighted_quantile(rows, ["track"], "value", "n_cuts", shares).select("track", "quantile")
+    return weighted_quantile(signal.filter("n_cuts > 0"), ["track"], "value", "n_cuts", shares).select("track", "quantile")
 
 
 def selected_shares(marked: DataFrame) -> DataFrame:

@@ -5,24 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from intervane.session import cut_lineage
+from intervane.operators.range_join import points_in_intervals
+from intervane.session import written
+
+#: Positions of a sequence that are one join key.
+_REACH = 1 << 24
 
 
 def bin_counts(cuts: DataFrame, tracks: DataFrame) -> DataFrame:
     """Distinct cuts per track and occupied bin: track_id, k (bin number), n.
 
-    Cuts meet tracks by sample and sequence. Counting distinct ids pre-aggregates
-    on (track, bin, cut) before its shuffle, so a hot sequence or a pile-up is
-    spread by cut id; rows delivered twice count once.
+    Cuts meet tracks by sample, sequence and stretches of ``_REACH`` positions, so a hot
+    sequence is many join keys. Counting distinct ids pre-aggregates on (track, bin,
+    cut) before its shuffle, so a pile-up is spread by cut id; rows delivered twice
+    count once.
     """
-    wanted = tracks.select("track_id", F.col("sample").alias("of"), F.col("seqname").alias("on"), "grid_start", "grid_end", "step")
-    inside = (F.col("location") >= F.col("grid_start")) & (F.col("location") < F.col("grid_end"))
-    k = F.expr("(location - grid_start) div step")
+    wanted = tracks.select("track_id", "sample", "seqname", F.col("grid_start").alias("start_"), (F.col("grid_end") - 1).alias("end_"), "step")
+    held = points_in_intervals(cuts.select("cut_id", "sample", "seqname", "location").dropna(subset=["sample", "seqname", "location"]), wanted, ("sample", "seqname"), width=_REACH)
     return (
-        cuts.select("cut_id", "sample", "seqname", "location")
-        .filter("sample IS NOT NULL AND seqname IS NOT NULL AND location IS NOT NULL")
-        .join(wanted, (F.col("sample") == F.col("of")) & (F.col("seqname") == F.col("on")) & inside)
-        .select("track_id", k.alias("k"), "cut_id")
+        held.select(F.col("i_track_id").alias("track_id"), F.expr("(location - i_start_) div i_step").alias("k"), "cut_id")
         .groupBy("track_id", "k")
         .agg(F.count_distinct(F.coalesce("cut_id", F.lit(-1))).alias("n"))
     )
@@ -81,7 +82,7 @@ def regular_series(cuts: DataFrame, tracks: DataFrame, max_fill: int = 5, shard_
     near = lambda a, b: b["k"] - a["k"] <= max_fill + 1
     shard = F.expr(f"k div {shard_bins}")
     # one row per occupied bin, written once: knots, halos and the grid all come from it
-    knots = cut_lineage(bin_counts(cuts, tracks)).select("track_id", shard.alias("shard"), "k", F.struct("k", F.col("n").cast("double").alias("v")).alias("at"))
+    knots = written(bin_counts(cuts, tracks)).select("track_id", shard.alias("shard"), "k", F.struct("k", F.col("n").cast("double").alias("v")).alias("at"))
     here = F.col("at")
     prev = F.coalesce(F.lag("at").over(inside), F.col("left"))
     nxt = F.coalesce(F.lead("at").over(inside), F.col("right"))

@@ -64,16 +64,21 @@ def _with_permissive(rows: DataFrame) -> DataFrame:
     A line is read under the explicit schema of its file. It counts as read
     without loss when the reader kept no corrupt text, no quote stands in it and
     its typed fields spell the line again; every other line goes to the exact rule.
+    A line whose number of separators is not that of the schema is corrupt whatever
+    they separate; it is not given to the reader, which ends a query over a line of
+    more fields than it has room for.
     """
     line = F.col("line")
+    separators = F.length(line) - F.length(F.replace(line, F.lit("\t"), F.lit("")))
     for n in _COUNTS:
         fourth = ", name STRING" * (n == 4)
-        rows = rows.withColumn(f"row{n}", F.when(F.col("n_columns") == n, F.from_csv(line, f"seqname STRING, start BIGINT, end BIGINT{fourth}, raw STRING", _CSV)))
+        fit = (F.col("n_columns") == n) & (separators == n - 1)
+        rows = rows.withColumn(f"row{n}", F.from_csv(F.when(fit, line), f"seqname STRING, start BIGINT, end BIGINT{fourth}, raw STRING", _CSV))
     reads = []
     for n in _COUNTS:
         row = F.col(f"row{n}")
         typed = [row["seqname"], row["start"].cast("string"), row["end"].cast("string"), *([row["name"]] if n == 4 else [])]
-        whole = row["raw"].isNull() & ~line.contains('"') & (row["start"] >= 0) & (row["end"] >= 0) & (F.concat_ws("\t", *typed) == line)
+        whole = row.isNotNull() & row["raw"].isNull() & ~line.contains('"') & (row["start"] >= 0) & (row["end"] >= 0) & (F.concat_ws("\t", *typed) == line)
         for value in typed:
             whole = whole & value.isNotNull()
         name = row["name"] if n == 4 else F.lit(None).cast("string")

@@ -67,7 +67,7 @@ def numbered(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     return placed.withColumn("__part", part).join(sizes, "__part").withColumn(name, F.col("__ahead") + inside).drop("__part", "__place", "__ahead")
 
 
-def in_rounds(rows: DataFrame, keys: Sequence[str], turn: str, step: Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+def in_rounds(rows: DataFrame, keys: Sequence[str], turn: str, step: Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, last_state: bool = False) -> DataFrame:
     """Results of a sequential pass over the shards of every group; ``turn`` numbers the shards of a group from 0.
 
     ``step(key, shard, state)`` gets the rows of one shard (none if the group has
@@ -76,7 +76,8 @@ def in_rounds(rows: DataFrame, keys: Sequence[str], turn: str, step: Callable[[t
     state. Round r is one Spark job over shard r of all groups, and state passes
     through a written table, so a task holds one shard of one group however long the
     group is; groups of one shard are done in the first round. The number of rounds
-    is that of the shards of the longest group.
+    is that of the shards of the longest group. With ``last_state`` the state that
+    is left at the end is part of the result.
     """
     last = rows.agg(F.max(turn)).first()[0]
     spark = rows.sparkSession
@@ -85,6 +86,7 @@ def in_rounds(rows: DataFrame, keys: Sequence[str], turn: str, step: Callable[[t
         made = written(rows.filter(F.col(turn) == r).groupBy(*keys).cogroup(state.groupBy(*keys)).applyInPandas(step, schema))
         done.append(made.filter("NOT is_state"))
         state = made.filter("is_state")
+    done += [state] if last_state else []
     return reduce(DataFrame.unionByName, done, spark.createDataFrame([], schema)).drop("is_state")
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from intervane.config import PeakConfig, PrepConfig
-from intervane.errors import ArgumentError, BadCovariance, NotARegion
+from intervane.errors import ArgumentError, BadCovariance, InvalidRegionBounds, NotARegion, RegionTooSmall
 from intervane.functions import lengths as L
 from intervane.functions.kernels import covariance
 from intervane.functions.regions import read_region, region_column
@@ -76,15 +76,14 @@ def test_depth_and_lanes(spark):
         assert r["depth"] == sum(s <= r["location"] < e for _, s, e in rows)
     covered = sum(x["end_"] - x["start_"] for x in coverage.depth_segments(df).collect() for _ in range(x["depth"]))
     assert covered == sum(e - s for _, s, e in rows)
-    for padding in (0, 7):
-        laned = [(r["lane"], r["start_"], r["end_"]) for r in annotation.lanes(df, ["sample", "seqname"], padding).collect()]
-        assert len(laned) == len(rows) and all(x <= 0 and x % 2 == 0 for x, *_ in laned)
-        by = defaultdict(list)
-        for lane, s, e in laned:
-            by[lane].append((s, e))
-        for spans in by.values():
-            spans.sort()
-            assert all(a[1] + padding <= b[0] for a, b in zip(spans, spans[1:]))
+    for padding, shard in ((0, 100_000), (7, 25)):
+        laned = {r["interval_id"]: r["lane"] for r in annotation.lanes(df, ["sample", "seqname"], padding, shard).collect()}
+        ends, want = {}, {}
+        for i, s, e in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+            lane = next(x for x in range(len(rows)) if ends.get(x, -1000) + padding < s)
+            ends[lane], want[i] = e, -2 * lane
+        assert laned == want
+    assert annotation.lanes(df.limit(0), ["sample", "seqname"]).count() == 0
 
 
 def test_quantile(spark):
@@ -190,6 +189,64 @@ def test_islands_and_overlaps(spark):
     assert report["q", "y"]["distance"] is None
 
 
+def walked_windows(at, n, low, high, overlap, max_cuts, max_locs):
+    """Windows found location by location: (first, last, stitch start, stitch end, cuts, locations)."""
+    inside = [x for x in at if x >= low + overlap]
+    if not inside or at[-1] < low + 2 * overlap:
+        return [(at[0], at[-1], low + overlap, max(high - overlap, low + overlap), sum(n), len(at))]
+    out, begin, left = [], 0, inside[0]
+    for i, c in enumerate(at):
+        stop = next(x for x in at if x >= c - overlap)
+        cuts, locs = sum(n[begin : i + 1]), i + 1 - begin
+        if (2 * cuts >= max_cuts or locs >= max_locs) and stop - left >= overlap:
+            out.append((at[begin], c, left, stop, cuts, locs))
+            begin, left = next(j for j, x in enumerate(at) if x >= stop - overlap), stop
+    return [*out, (at[begin], at[-1], left, max(high - overlap, left), sum(n[begin:]), len(at) - begin)]
+
+
+@pytest.mark.parametrize(("seed", "width"), [(1, 1 << 22), (2, 1 << 15)])
+def test_windows_against_a_walk(spark, seed, width):
+    rng = random.Random(seed)
+    places = [int(x) for x in np.cumsum([rng.choice([1, 1, 3, 9, 40, 400, 3000]) for _ in range(250)])]
+    events = [(q, x) for q in ("a", "b") for x in places for _ in range(rng.choice([1, 1, 2, 30]))]
+    regions = [("a", places[0] - 5, places[120]), ("a", places[121], places[-1] + 50), ("b", places[3], places[-9])]
+    frame = spark.createDataFrame(events, "seqname STRING, location BIGINT")
+    for overlap, max_cuts, max_locs in ((100, 120, 10_000), (60, 10_000, 30)):
+        made = packages.work_packages(frame, spark.createDataFrame(regions, "seqname STRING, start_ BIGINT, end_ BIGINT"), overlap, max_cuts, max_locs, (50, 200), width)
+        got = defaultdict(list)
+        for r in sorted(made.collect(), key=lambda r: r["k"]):
+            got[r["seqname"], r["interval"]].append((r["start_"], r["end_"], r["stitch_start"], r["stitch_end"], r["ncuts"], r["nlocs"]))
+        for q, s, e in regions:
+            at = sorted({x for p, x in events if p == q and s <= x <= e})
+            n = [sum(1 for p, y in events if p == q and y == x) for x in at]
+            first, last = s == min(x for p, x, _ in regions if p == q), e == max(x for p, _, x in regions if p == q)
+            wide = int(1.5 * overlap)
+            assert got[q, s] == walked_windows(at, n, s - wide * first, e + wide * last, overlap, max_cuts, max_locs)
+
+
+def test_stitching_and_bounds(spark):
+    rng = random.Random(9)
+    events = [("a", rng.randint(0, 9000)) for _ in range(1500)]
+    frame = spark.createDataFrame(events, "seqname STRING, location BIGINT")
+    regions = spark.createDataFrame([("a", -10, 9010)], "seqname STRING, start_ BIGINT, end_ BIGINT")
+    made = packages.work_packages(frame, regions, overlap=200, max_cuts=300, max_locs=100_000).cache()
+    assert made.count() > 3
+    inside = packages.in_packages(frame, made)
+    assert inside.count() > 1500
+    near = coverage.spine_counts(inside, 200, ("seqname", "interval", "k"))
+    got = {r["location"]: (r["n_left"], r["n_right"]) for r in packages.stitched(near, made).collect()}
+    whole = {r["location"]: (r["n_left"], r["n_right"]) for r in coverage.spine_counts(frame, 200, ("seqname",)).collect()}
+    assert got == whole and packages.stitched(inside, made).count() == 1500
+    assert packages.exclusive_coverage(made).first()["covered"] == 9010 + 300 - 200 - min(x for _, x in events if x >= -10 - 300 + 200)
+    assert packages.check_bounds(frame, regions, 200).count() == 1
+    with pytest.raises(RegionTooSmall):
+        packages.check_bounds(frame, regions, 5000)
+    with pytest.raises(InvalidRegionBounds):
+        packages.check_bounds(frame.unionByName(spark.createDataFrame([("a", 20_000)], frame.schema)), regions, 200)
+    empty = packages.work_packages(frame.limit(0), regions)
+    assert empty.count() == 0
+
+
 def test_packages(spark):
     rng = random.Random(6)
     events = [("a", rng.randint(0, 20_000)) for _ in range(3000)] + [("a", 50_000 + rng.randint(0, 500)) for _ in range(100)] + [("b", 7)] + [("a", 11_111)] * 500

@@ -101,11 +101,15 @@ def test_deliveries_count_once_and_empty_tables(spark):
     assert {r["reason"] for r in split_lines(lines, files.limit(0), sizes.limit(0))[1].collect()} == {"seqname", "column_count"}
 
 
-@pytest.mark.parametrize("text", ['"' * 99_999, "\t" * 50_000, "#" * 10])
-def test_hostile_long_lines(spark, text):
-    lines = spark.createDataFrame([(1, "a", 1, text, "")], LINES)
-    files = spark.createDataFrame([("a", "s", 3)], "file_name STRING, sample STRING, n_columns INT")
+WIDE = "chr1\t1\t5" + "\tx" * 50_000
+
+
+@pytest.mark.parametrize("text", ['"' * 99_999, "\t" * 50_000, "#" * 10, WIDE, WIDE[:-1] + '"', "chr1\t1\t5\t" + '"\t"\t' * 30_000, '"chr1' + "\t" * 30_000 + '"\t1\t5'])
+@pytest.mark.parametrize("file", ["a", "b", "none"])
+def test_hostile_long_lines(spark, text, file):
+    lines = spark.createDataFrame([(1, file, 1, text, ""), (2, "a", 2, "chr1\t1\t5", ""), (3, "b", 2, "chr1\t1\t5\tq", "")], LINES)
+    files = spark.createDataFrame([("a", "s", 3), ("b", "s", 4)], "file_name STRING, sample STRING, n_columns INT")
     sizes = spark.createDataFrame([("chr1", 10)], "seqname STRING, size_ BIGINT")
-    got = [r["reason"] for r in parse_lines(lines, files, sizes).collect()]
-    judged = brute(text, 3)
-    assert got == ([] if judged is None else [judged[0]])
+    got = {r["line_id"]: r["reason"] for r in parse_lines(lines, files, sizes).collect()}
+    judged = brute(text, {"a": 3, "b": 4}.get(file))
+    assert got == {2: None, 3: None} | ({} if judged is None else {1: judged[0] or None})
