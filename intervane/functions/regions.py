@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from intervane.errors import NotARegion
 
-_REGION = r"^([^:]+):([0-9,_]+)-([0-9,_]+)"
+#: A region begins with a name without a colon, then a colon and two numbers with a hyphen between; what follows is not looked at.
+_NAME, _DIGITS = "[^:]+", "[0-9,_]+"
+_PARTS = {"seqname": f"^({_NAME}):{_DIGITS}-{_DIGITS}", "start_": f"^{_NAME}:({_DIGITS})-{_DIGITS}", "end_": f"^{_NAME}:{_DIGITS}-({_DIGITS})"}
 
 
 def region_column(text: Column, strip_prefix: bool = False) -> Column:
@@ -17,18 +19,23 @@ def region_column(text: Column, strip_prefix: bool = False) -> Column:
 
     Separators within the numbers are dropped; ``strip_prefix`` drops a leading ``chr``.
     """
-    sequence = F.regexp_extract(text, _REGION, 1)
-    sequence = F.regexp_replace(sequence, "^chr", "") if strip_prefix else sequence
-    number = lambda i: F.regexp_replace(F.regexp_extract(text, _REGION, i), "[^0-9]", "").try_cast("bigint")
-    return F.when(text.rlike(_REGION), F.struct(sequence.alias("seqname"), number(2).alias("start_"), number(3).alias("end_")))
+    part = {c: F.regexp_extract(text, pattern, 1) for c, pattern in _PARTS.items()}
+    sequence = F.regexp_replace(part["seqname"], "^chr", "") if strip_prefix else part["seqname"]
+    number = {c: F.translate(part[c], ",_", "").try_cast("bigint").alias(c) for c in ("start_", "end_")}
+    return F.when(text.rlike(_PARTS["seqname"]), F.struct(sequence.alias("seqname"), number["start_"], number["end_"]))
 
 
 def read_region(text: str) -> tuple[str, int, int]:
-    """One region given as a setting."""
-    match = re.match(_REGION, text)
-    if not match:
+    """One region given as a setting: its name up to the first colon, and two whole numbers."""
+    name, colon, rest = text.partition(":")
+    low, hyphen, tail = rest.partition("-")
+    high = re.match(_DIGITS, tail)
+    if not (name and colon and hyphen and high and re.fullmatch(_DIGITS, low)):
         raise NotARegion(text)
-    return match[1], *(int(re.sub("[^0-9]", "", match[i])) for i in (2, 3))
+    bounds = [x.translate({ord(","): None, ord("_"): None}) for x in (low, high[0])]
+    if not all(bounds):
+        raise NotARegion(text)
+    return name, int(bounds[0]), int(bounds[1])
 
 
 def with_chr(seqname: Column) -> Column:

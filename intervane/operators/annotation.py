@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from intervane.errors import NotARegion
 from intervane.functions.regions import read_region
+from intervane.operators.coverage import depth_segments
 from intervane.operators.periods import periods
 from intervane.operators.range_join import points_in_intervals
 from intervane.operators.shards import in_rounds, numbered
@@ -101,6 +103,21 @@ def lanes(intervals: DataFrame, keys: list[str], padding: int = 0, shard_rows: i
     return in_rounds(ordered, stretch, "turn", step, schema).drop("i_start_", "busy_end")
 
 
+def exon_depth(features: DataFrame, keys: Sequence[str] = ("gene_name",), height: float | None = None) -> DataFrame:
+    """Segments of overlapping exons of each gene or transcript: seqname, the keys, start_, end_, depth and, with ``height``, ``scaled``.
+
+    ``features``: seqname, feature, start_, end_ and the keys. Segments without an exon are
+    left out. ``scaled`` is the depth as a share of the largest of its keys, times
+    ``height``. Rows with a null and empty exons are left out.
+    """
+    exons = features.filter("feature = 'exon' AND start_ < end_").dropna(subset=list(keys))
+    segments = depth_segments(exons, ("seqname", *keys))
+    if height is None:
+        return segments
+    top = segments.groupBy(*keys).agg(F.max("depth").alias("top"))
+    return segments.join(top, list(keys)).withColumn("scaled", F.col("depth") * F.lit(height) / F.col("top")).drop("top")
+
+
 def features_in(features: DataFrame, bounds: DataFrame) -> DataFrame:
     """Features that overlap the one row of ``bounds``, with how many of them there are per sequence."""
     found = features.join(bounds.select(F.col("seqname").alias("on"), F.col("start_").alias("low"), F.col("end_").alias("high")), F.col("seqname") == F.col("on"))

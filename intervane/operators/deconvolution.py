@@ -36,7 +36,8 @@ def fit_length_weights(counts: DataFrame, iterations: int = 8, modes: Sequence[f
     """Mixture weights of every chunk and target: workchunk, comp, k (from 0), w.
 
     Starts at the mean of the target's Dirichlet prior and takes ``iterations`` steps
-    towards the largest posterior density. A group has one row per length.
+    towards the largest posterior density; after 8 of them weights of the test tables are
+    within 4e-7 of those after 400. A group has one row per length.
     """
     for prior in priors.values():
         L.validate(modes, sds, prior)
@@ -70,6 +71,18 @@ def mode_weights(weights: DataFrame, counts: DataFrame) -> DataFrame:
     return weights.join(n, ["workchunk", "comp"]).groupBy("comp", "k").agg(F.sum(F.col("n_cuts") * F.col("w")).alias("cuts"))
 
 
+def suggested_priors(modes: DataFrame, checked: DataFrame) -> DataFrame:
+    """Priors with which to fit flipped chunks again: workchunk, comp, k, prior.
+
+    The whole cuts that each component explains over all chunks (see :func:`mode_weights`),
+    once for every chunk flagged by :func:`flip_check`; components are a handful.
+    """
+    whole = F.array_sort(F.collect_list(F.struct("comp", "k", F.floor("cuts").alias("prior"))))
+    priors = modes.groupBy(F.lit(True).alias("all_chunks")).agg(whole.alias("x"))
+    flagged = checked.filter("flipped").select("workchunk", F.lit(True).alias("all_chunks"))
+    return flagged.join(priors, "all_chunks").select("workchunk", F.explode("x").alias("x")).select("workchunk", "x.comp", "x.k", "x.prior")
+
+
 def length_grid(weights: DataFrame, points: int = 500, longest: float = 800.0, sds: Sequence[float] = L.MODEL_SDS) -> DataFrame:
     """Fitted length density of every chunk and target on ``points`` lengths from 1 to ``longest``: workchunk, comp, i, length, density."""
     step = (longest - 1) / (points - 1)

@@ -58,6 +58,11 @@ def long_type(length: Column, nucleosome: int = 120) -> Column:
     return F.when(length > 2 * nucleosome, f">{2 * nucleosome}").otherwise(read_type(length, nucleosome))
 
 
+def facet_label(*parts: Column) -> Column:
+    """Label of a facet: the parts that are not null, with a blank between."""
+    return F.concat_ws(" ", *parts)
+
+
 def replaced_barcode(barcode: Column, pattern: str, extract: bool = False) -> Column:
     """The part of ``barcode`` that matches ``pattern`` replaced by its first group, or only that group."""
     return F.regexp_extract(barcode, pattern, 1) if extract else F.regexp_replace(barcode, pattern, "$1")

@@ -46,6 +46,15 @@ def binned(points: DataFrame, keys: Sequence[str], value: str, span: int, start:
     return bins.select(*keys, begin.alias("start_"), (begin + span).alias("end_"), value)
 
 
+def within_sizes(bins: DataFrame, sizes: DataFrame, region: tuple[str, int, int] | None = None) -> DataFrame:
+    """Bins that end within their sequence (``sizes``: seqname, size_) and, with a ``region``, reach into it; bins of unknown sequences are left out."""
+    if region:
+        seqname, low, high = region
+        bins = bins.filter((F.col("seqname") == seqname) & (F.col("end_") >= low) & (F.col("start_") <= high))
+    known = sizes.groupBy(F.col("seqname").alias("of")).agg(F.max("size_").alias("size_"))
+    return bins.join(known, F.col("seqname") == F.col("of")).filter(F.col("end_") <= F.col("size_")).drop("of", "size_")
+
+
 def gaussian_weights(sigma: float) -> np.ndarray:
     """Weights at offsets ``-r..r``, ``r = int(4 sigma + .5)``, adding up to 1."""
     reach = int(4 * sigma + 0.5)

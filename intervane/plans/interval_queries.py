@@ -22,6 +22,8 @@ NARROW_PEAKS = PeakConfig(smooth={"c1": 0, "c2": 200})
 #: Preparation: the usual settings, and small limits that divide small tables too.
 PREP = PrepConfig()
 NARROW_PREP = PrepConfig(selection_padding=1000, region_padding=500, interval_overlap=1000, max_locs=2000, max_cuts=8000, memory_target=1.0)
+#: Limits so small that most intervals of even a small table are divided.
+DIVIDED_PREP = PrepConfig(selection_padding=1000, region_padding=500, interval_overlap=200, max_locs=30, max_cuts=40, memory_target=0.5)
 REGION = "chr1:20,000,000-60_000_000"
 
 
@@ -123,6 +125,19 @@ def region_parse(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "peaks").select("peak_id", region_column(text).alias("r")).select("peak_id", "r.*").distinct()
 
 
+@query
+def exon_depth(spark: SparkSession, folder: str) -> DataFrame:
+    """Depth of the peaks of a sample, taken as the exons of a gene, scaled for drawing."""
+    rows = table(spark, folder, "peaks").select("peak_id", "seqname", "start_", "end_", F.col("sample").alias("gene_name"), F.lit("exon").alias("feature")).distinct()
+    return rounded(annotation.exon_depth(rows.dropna(), height=0.8), "scaled")
+
+
+@query
+def facet_counts(spark: SparkSession, folder: str) -> DataFrame:
+    label = fragments.facet_label(F.col("sample"), fragments.read_type(fragments.fragment_length(signed=False)))
+    return table(spark, folder, "fragments").groupBy(label.alias("facet")).agg(F.count("*").alias("n"))
+
+
 @query
 def region_fragments(spark: SparkSession, folder: str) -> DataFrame:
     found = range_join.region(table(spark, folder, "fragments"), *read_region(REGION))
@@ -260,6 +275,11 @@ def two_tracks(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(pipelines.two_tracks(_events(spark, folder), PEAKS), "c1", "c2")
 
 
+@query
+def peak_shares(spark: SparkSession, folder: str, cfg: PeakConfig = PEAKS) -> DataFrame:
+    return rounded(peaks.selected_shares(_marked(spark, folder, cfg)), "share")
+
+
 @query
 def quantile_bounds(spark: SparkSession, folder: str) -> DataFrame:
     rows = pipelines.cut_signals(pipelines.signal(_events(spark, folder), PEAKS, smooth=False))
@@ -303,7 +323,7 @@ def filter_overlaps(spark: SparkSession, folder: str, cfg: PeakConfig = PEAKS) -
     return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), "mean")
 
 
-for build in (gaussian_smooth, peak_flags, peak_islands, peak_summits, overlap_report, filter_overlaps):
+for build in (gaussian_smooth, peak_flags, peak_islands, peak_summits, overlap_report, filter_overlaps, peak_shares):
     narrow(build, cfg=NARROW_PEAKS)
 
 
@@ -329,6 +349,15 @@ for build in (interp_track, binned_track):
     narrow(build, max_gap=2000)
 
 
+@query
+def sized_track(spark: SparkSession, folder: str) -> DataFrame:
+    """Bins of the cuts that end within their sequence and reach into a region."""
+    cuts = table(spark, folder, "cuts").dropna(subset=["seqname", "location"]).select("cut_id", "seqname", "location").distinct()
+    begin = (F.floor(F.col("location") / 1000) * 1000).alias("start_")
+    bins = cuts.groupBy("seqname", begin).agg(F.count("*").alias("n_cuts")).withColumn("end_", F.col("start_") + 1000)
+    return tracks.within_sizes(bins, table(spark, folder, "chrom_sizes"), read_region(REGION))
+
+
 @query
 def thinned_track(spark: SparkSession, folder: str) -> DataFrame:
     return tracks.thinned(_counts_of_bins(spark, folder), ["sample", "seqname"], 20).withColumn("value", tracks.at_least(F.col("value"), 2.0))
@@ -375,6 +404,34 @@ def flip_check(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(deconvolution.flip_check(_fit(spark, folder)[1]), "correlation")
 
 
+@query
+def flip_check_planted(spark: SparkSession, folder: str) -> DataFrame:
+    """The check where the targets of the last chunk were exchanged on purpose."""
+    fit = _fit(spark, folder)[1]
+    last = fit.select(F.max("workchunk")).scalar()
+    other = F.when(F.col("comp") == "c1", "c2").otherwise("c1")
+    return rounded(deconvolution.flip_check(fit.withColumn("comp", F.when(F.col("workchunk") == last, other).otherwise(F.col("comp")))), "correlation")
+
+
+@query
+def suggested_priors(spark: SparkSession, folder: str) -> DataFrame:
+    """Priors to fit again the chunk whose targets were exchanged on purpose."""
+    counts, fit = _fit(spark, folder)
+    last = fit.select(F.max("workchunk")).scalar()
+    other = F.when(F.col("comp") == "c1", "c2").otherwise("c1")
+    exchanged = fit.withColumn("comp", F.when(F.col("workchunk") == last, other).otherwise(F.col("comp")))
+    modes = deconvolution.mode_weights(fit, counts)
+    return deconvolution.suggested_priors(modes, deconvolution.flip_check(exchanged))
+
+
+@query
+def missing_chunks_planted(spark: SparkSession, folder: str) -> DataFrame:
+    """The missing chunks where the first one lost the fit of a target on purpose."""
+    fit = _fit(spark, folder)[1]
+    lost = (F.col("workchunk") == fit.select(F.min("workchunk")).scalar()) & (F.col("comp") == "c2")
+    return deconvolution.missing_chunks(table(spark, folder, "cuts").select(F.col("sample").alias("workchunk")), fit.filter(~lost))
+
+
 @query
 def missing_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return deconvolution.missing_chunks(table(spark, folder, "cuts").select(F.col("sample").alias("workchunk")), _fit(spark, folder)[1])
@@ -394,8 +451,8 @@ def cut_likelihoods(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(found, "log_c1", "log_c2", "marginal_c1", "marginal_c2", "log_total")
 
 
-def _packages(spark: SparkSession, folder: str, cfg: PrepConfig) -> DataFrame:
-    return cut_lineage(pipelines.prepare(table(spark, folder, "fragments"), table(spark, folder, "blacklist"), cfg))
+def _packages(spark: SparkSession, folder: str, cfg: PrepConfig, selection: DataFrame | None = None) -> DataFrame:
+    return cut_lineage(pipelines.prepare(table(spark, folder, "fragments"), table(spark, folder, "blacklist"), cfg, selection))
 
 
 @query
@@ -417,5 +474,51 @@ for build in (work_packages, chunk_loads, richest_packages):
     narrow(build, cfg=NARROW_PREP)
 
 
+def _divided(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The prepared events, and their packages under limits that divide most intervals."""
+    events = written(pipelines.prepared_events(table(spark, folder, "fragments"), table(spark, folder, "blacklist"), DIVIDED_PREP).select("seqname", "location"))
+    return events, cut_lineage(pipelines.divided_regions(events, DIVIDED_PREP))
+
+
+@query
+def divided_packages(spark: SparkSession, folder: str) -> DataFrame:
+    return packages.package_names(_divided(spark, folder)[1]).withColumn("memory", F.round("memory", 9))
+
+
+@query
+def divided_richest(spark: SparkSession, folder: str) -> DataFrame:
+    return packages.richest_package(_divided(spark, folder)[1])
+
+
+@query
+def divided_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Packages put into chunks, and chunks beyond their limit that hold more than one."""
+    made = packages.work_chunks(_divided(spark, folder)[1], DIVIDED_PREP.memory_target, DIVIDED_PREP.seed)
+    over = (F.col("load") >= DIVIDED_PREP.memory_target) & (F.col("n_packages") > 1)
+    sums = packages.chunk_loads(made).agg(F.sum("n_packages").alias("n_packages"), F.sum("ncuts").alias("ncuts"), F.sum("nlocs").alias("nlocs"), F.sum(over.cast("bigint")).alias("n_over"))
+    return sums
+
+
+@query
+def package_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(packages.exclusive_coverage(_divided(spark, folder)[1]), "fraction")
+
+
+@query
+def stitched_spines(spark: SparkSession, folder: str) -> DataFrame:
+    """Neighbours within an overlap, counted package by package and put together from the exclusive parts."""
+    events, made = _divided(spark, folder)
+    near = coverage.spine_counts(packages.in_packages(events, made), DIVIDED_PREP.interval_overlap, ("seqname", "interval", "k"))
+    return packages.stitched(near, made).drop("k")
+
+
+@query
+def selected_packages(spark: SparkSession, folder: str) -> DataFrame:
+    """Packages of a selection (the peaks of the first track) in place of the dense regions."""
+    selection = table(spark, folder, "peaks").filter("track = 'c1'").select("seqname", "start_", "end_")
+    events = written(pipelines.prepared_events(table(spark, folder, "fragments"), table(spark, folder, "blacklist"), DIVIDED_PREP).select("seqname", "location"))
+    return pipelines.divided_regions(events, DIVIDED_PREP, selection).withColumn("memory", F.round("memory", 9))
+
+
 #: SQL by query; where it is written for narrower settings, that of the query registered with those.
 SQL = {f"{name}_narrow" if f"{name}_narrow" in QUERIES else name: text for name, text in interval_sql.SQL.items()}

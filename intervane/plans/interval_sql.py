@@ -132,6 +132,63 @@ def _mix(c: str) -> str:
     return "(" + " + ".join(f"{c}.w{k} * {_component('abs(c.length)', m, s)}" for k, (m, s) in enumerate(zip(L.MODES, L.MODEL_SDS))) + ")"
 
 
+_PREP = """WITH RECURSIVE
+once AS (SELECT DISTINCT barcode, seqname, start_, end_ FROM fragments
+         WHERE seqname NOT IN ('chrM', 'chrUn', 'chrEBV') AND start_ IS NOT NULL AND end_ IS NOT NULL),
+ev AS (SELECT seqname, location FROM (SELECT seqname, unnest([start_, end_]) AS location FROM once) c WHERE NOT EXISTS (
+  SELECT 1 FROM blacklist b WHERE b.seqname = c.seqname AND b.start_ <= c.location AND c.location <= b.end_)),
+"""
+_DENSE = (
+    _NEAR.format(name="dens", keys="seqname, ")
+    + """,
+pos AS (SELECT seqname, g, CASE WHEN g - lag(g) OVER (PARTITION BY seqname ORDER BY g) <= 2000 THEN 0 ELSE 1 END AS jump FROM dens WHERE density > 2e0),
+runs AS (SELECT *, sum(jump) OVER (PARTITION BY seqname ORDER BY g ROWS UNBOUNDED PRECEDING) AS run FROM pos),
+ends AS (SELECT seqname, min(location) - 1 AS low, max(location) + 1 AS high FROM ev GROUP BY seqname),
+chosen AS (SELECT r.seqname, greatest(min(low), min(g) - 1000) AS start_, least(min(high), max(g) + 1000 - 1) AS end_
+           FROM runs r JOIN ends e ON r.seqname = e.seqname GROUP BY r.seqname, run),
+"""
+)
+_SELECTED = "chosen AS (SELECT seqname, start_, end_ FROM peaks WHERE track = 'c1' AND seqname IS NOT NULL AND start_ IS NOT NULL AND end_ IS NOT NULL),\n"
+_WINDOWS = """
+wide AS (SELECT seqname, greatest(start_ - 500, 0) AS s, end_ + 500 AS e FROM chosen WHERE greatest(start_ - 500, 0) < end_ + 500),
+merge AS (SELECT *, sum(CASE WHEN s < reach THEN 0 ELSE 1 END) OVER (PARTITION BY seqname ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS label
+          FROM (SELECT *, max(e) OVER (PARTITION BY seqname ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM wide)),
+regions AS (SELECT seqname, min(s) AS s, max(e) AS e FROM merge GROUP BY seqname, label),
+bounds AS (SELECT seqname, s AS interval, e, CASE WHEN s = min(s) OVER w THEN s - 300 ELSE s END AS low, CASE WHEN e = max(e) OVER w THEN e + 300 ELSE e END AS high
+           FROM regions WINDOW w AS (PARTITION BY seqname)),
+placed AS (SELECT b.seqname, b.interval, low, high, location, count(*) AS n FROM ev JOIN bounds b ON ev.seqname = b.seqname AND location >= b.interval AND location <= e GROUP BY ALL),
+spots AS (SELECT *, CAST(sum(n) OVER w AS BIGINT) AS upto, count(*) OVER w AS place,
+                 min(location) OVER (PARTITION BY seqname, interval ORDER BY location RANGE BETWEEN 200 PRECEDING AND CURRENT ROW) AS stop
+          FROM placed WINDOW w AS (PARTITION BY seqname, interval ORDER BY location ROWS UNBOUNDED PRECEDING)),
+jumps AS (SELECT a.*, b.stop AS following, c.upto - c.n AS following_cuts, c.place - 1 AS following_locs FROM spots a
+          JOIN spots b ON a.seqname = b.seqname AND a.interval = b.interval AND a.stop = b.location
+          JOIN spots c ON a.seqname = c.seqname AND a.interval = c.interval AND b.stop = c.location),
+sizes AS (SELECT seqname, interval, low, high, min(location) AS a, max(location) AS z, CAST(sum(n) AS BIGINT) AS ncuts, count(*) AS nlocs,
+                 min(location) FILTER (location >= low + 200) AS inner_ FROM spots GROUP BY ALL),
+steps AS (
+  SELECT seqname, interval, 0 AS k, a AS first, CASE WHEN large THEN inner_ ELSE low + 200 END AS from_, CAST(0 AS BIGINT) AS cuts, CAST(0 AS BIGINT) AS locs,
+         a - 1 AS last, large FROM (SELECT *, (2 * ncuts >= 40 OR nlocs >= 30) AND z >= low + 400 AS large FROM sizes)
+  UNION ALL
+  SELECT seqname, interval, k + 1, x.following, x.stop, x.cuts, x.locs, x.location, true
+  FROM (SELECT s.seqname, s.interval, s.k,
+               min(struct_pack(location := j.location, stop := j.stop, following := j.following, cuts := j.following_cuts, locs := j.following_locs)) AS x
+        FROM steps s JOIN jumps j ON s.seqname = j.seqname AND s.interval = j.interval
+        WHERE s.large AND j.location > s.last AND (2 * (j.upto - s.cuts) >= 40 OR j.place - s.locs >= 30) AND j.stop >= s.from_ + 200
+        GROUP BY s.seqname, s.interval, s.k)),
+windows AS (SELECT s.seqname, s.interval, s.k, s.first AS start_, coalesce(t.last, z.z) AS end_, s.from_ AS stitch_start,
+                   coalesce(t.from_, greatest(z.high - 200, s.from_)) AS stitch_end, max(s.k) OVER (PARTITION BY s.seqname, s.interval) > 0 AS is_subdivide
+            FROM steps s JOIN sizes z ON s.seqname = z.seqname AND s.interval = z.interval
+            LEFT JOIN steps t ON s.seqname = t.seqname AND s.interval = t.interval AND t.k = s.k + 1),
+held AS (SELECT w.seqname, w.interval, k, location, n FROM windows w JOIN spots s ON w.seqname = s.seqname AND w.interval = s.interval AND location BETWEEN start_ AND end_),
+counted AS (SELECT seqname, interval, k, CAST(sum(n) AS BIGINT) AS ncuts, count(*) AS nlocs FROM held GROUP BY ALL),
+pairs AS (SELECT a.seqname, a.interval, a.k, count(*) FILTER (abs(a.location - b.location) < 6217) AS nnz1, count(*) FILTER (abs(a.location - b.location) < 24868) AS nnz2
+          FROM held a JOIN held b ON a.seqname = b.seqname AND a.interval = b.interval AND a.k = b.k GROUP BY ALL),
+made AS (SELECT w.*, ncuts, nlocs, nnz1, nnz2, round(ncuts * 1e-6 + nlocs * 2.5e-5 + (nnz1 + nnz2) * 8e-9 + 1.2e-2, 9) AS memory
+         FROM windows w JOIN counted c ON w.seqname = c.seqname AND w.interval = c.interval AND w.k = c.k
+         JOIN pairs p ON w.seqname = p.seqname AND w.interval = p.interval AND w.k = p.k)
+"""
+_DIVIDED = _PREP + _DENSE + _WINDOWS
+
 SQL = {
     "fragments_dedup": """SELECT fragment_id, sample, seqname, start_, end_, name, barcode, length FROM fragments
 QUALIFY row_number() OVER (PARTITION BY barcode, seqname, start_, end_ ORDER BY fragment_id, loaded_at) = 1""",
@@ -344,4 +401,67 @@ j AS (SELECT cut_id, {_mix('a')} * t.c1 AS l1, {_mix('b')} * t.c2 AS l2
 n AS (SELECT cut_id, CASE WHEN l1 > 0 THEN l1 END AS l1, CASE WHEN l2 > 0 THEN l2 END AS l2 FROM j)
 SELECT cut_id, round(ln(l1), 6) AS log_c1, round(ln(l2), 6) AS log_c2, round(l1 / (l1 + l2), 6) AS marginal_c1, round(l2 / (l1 + l2), 6) AS marginal_c2,
        round(ln(l1 + l2), 6) AS log_total FROM n""",
+    "divided_packages": _DIVIDED + "SELECT *, seqname || '_' || interval || '.' || k AS name FROM made",
+    "divided_richest": _DIVIDED
+    + "SELECT seqname, interval, k, nlocs, ncuts FROM made QUALIFY row_number() OVER (PARTITION BY seqname ORDER BY nlocs DESC, interval, k) = 1",
+    "divided_chunks": _DIVIDED + "SELECT count(*) AS n_packages, CAST(sum(ncuts) AS BIGINT) AS ncuts, CAST(sum(nlocs) AS BIGINT) AS nlocs, CAST(0 AS BIGINT) AS n_over FROM made",
+    "package_coverage": _DIVIDED
+    + """, q AS (SELECT seqname, sum(stitch_end - stitch_start) AS covered, max(stitch_end) AS reach FROM made GROUP BY seqname)
+SELECT CAST(sum(covered) AS BIGINT) AS covered, CAST(sum(reach) AS BIGINT) AS reach, round(CAST(sum(covered) AS DOUBLE) / CAST(sum(reach) AS DOUBLE), 6) AS fraction FROM q""",
+    "stitched_spines": _DIVIDED
+    + """, inside AS (SELECT seqname, interval, min(stitch_start) AS a, max(stitch_end) AS z FROM made GROUP BY ALL),
+near AS (SELECT seqname, interval, location, count(*) OVER (o RANGE BETWEEN 199 PRECEDING AND CURRENT ROW) - 1 AS n_left,
+                count(*) OVER (o RANGE BETWEEN CURRENT ROW AND 199 FOLLOWING) - 1 AS n_right FROM spots WINDOW o AS (PARTITION BY seqname, interval ORDER BY location))
+SELECT n.* FROM near n JOIN inside i ON n.seqname = i.seqname AND n.interval = i.interval WHERE location >= a AND location < z""",
+    "selected_packages": _PREP + _SELECTED + _WINDOWS + "SELECT * FROM made",
+    "peak_shares": _MARKED
+    + """, f AS (SELECT 'c1' AS track, c1_peak AS flag FROM marked UNION ALL SELECT 'c2', c2_peak FROM marked)
+SELECT track, count(*) AS n_positions, count(*) FILTER (flag) AS n_selected, round(count(*) FILTER (flag) / CAST(count(*) AS DOUBLE), 6) AS share FROM f GROUP BY track""",
+    "sized_track": """
+SELECT b.* FROM (SELECT seqname, location // 1000 * 1000 AS start_, location // 1000 * 1000 + 1000 AS end_, count(DISTINCT cut_id) AS n_cuts
+                 FROM cuts WHERE seqname IS NOT NULL AND location IS NOT NULL GROUP BY ALL) b JOIN chrom_sizes c ON b.seqname = c.seqname
+WHERE end_ <= size_ AND b.seqname = 'chr1' AND end_ >= 20000000 AND start_ <= 60000000""",
+    "exon_depth": """
+WITH f AS (SELECT DISTINCT peak_id, sample AS gene_name, seqname, start_, end_ FROM peaks WHERE sample IS NOT NULL AND seqname IS NOT NULL AND start_ < end_),
+d AS (SELECT gene_name, seqname, location, sum(delta) AS delta
+      FROM (SELECT gene_name, seqname, start_ AS location, 1 AS delta FROM f UNION ALL SELECT gene_name, seqname, end_, -1 FROM f) GROUP BY ALL),
+c AS (SELECT gene_name, seqname, location, CAST(sum(delta) OVER w AS BIGINT) AS depth, lead(location) OVER w AS following FROM d
+      WINDOW w AS (PARTITION BY gene_name, seqname ORDER BY location))
+SELECT seqname, gene_name, location AS start_, following AS end_, depth, round(0.8e0 * depth / max(depth) OVER (PARTITION BY gene_name), 6) AS scaled FROM c WHERE depth > 0""",
+    "facet_counts": """
+SELECT concat_ws(' ', sample, CASE WHEN abs(end_ - start_) > 120 THEN '>120' ELSE '≤120' END) AS facet, count(*) AS n FROM fragments GROUP BY facet""",
+    "peak_lanes": """
+WITH RECURSIVE p AS (SELECT DISTINCT sample, seqname, start_, end_, peak_id AS interval_id FROM peaks
+                     WHERE sample IS NOT NULL AND seqname IS NOT NULL AND start_ < end_ AND peak_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY sample, seqname ORDER BY start_, end_, interval_id) AS i FROM p),
+walk AS (
+  SELECT sample, seqname, i, start_, end_, interval_id, 1 AS place, [end_] AS ends FROM o WHERE i = 1
+  UNION ALL
+  SELECT sample, seqname, i, start_, end_, interval_id, place, list_concat(ends[1:place - 1], [end_], ends[place + 1:]) FROM (
+    SELECT o.*, w.ends, coalesce(list_position(list_transform(w.ends, lambda x: x + 100 < o.start_), true), len(w.ends) + 1) AS place
+    FROM walk w JOIN o ON w.sample = o.sample AND w.seqname = o.seqname AND o.i = w.i + 1))
+SELECT sample, seqname, start_, end_, interval_id, CAST(-2 * (place - 1) AS INTEGER) AS lane FROM walk""",
+    "flip_check_planted": "WITH"
+    + _FIT
+    + ",\n"
+    + _grid(L.CHECK_SDS)
+    + """,
+diff AS (SELECT workchunk, i, sum(CASE WHEN (comp = 'c1') = (workchunk <> (SELECT max(workchunk) FROM fit)) THEN density ELSE -density END) AS d FROM grid GROUP BY ALL HAVING count(*) = 2),
+med AS (SELECT i, quantile_cont(d, 0.5) AS m FROM diff GROUP BY i)
+SELECT workchunk, round(corr(d, m), 6) AS correlation, corr(d, m) < 0.9 AS flipped FROM diff JOIN med USING (i) GROUP BY workchunk""",
+    "missing_chunks_planted": "WITH"
+    + _FIT
+    + """SELECT DISTINCT sample AS workchunk FROM cuts WHERE sample NOT IN (
+  SELECT workchunk FROM fit WHERE NOT (comp = 'c2' AND workchunk = (SELECT min(workchunk) FROM fit)) GROUP BY workchunk HAVING count(DISTINCT comp) = 2)""",
+    "suggested_priors": "WITH"
+    + _FIT
+    + ",\n"
+    + _grid(L.CHECK_SDS)
+    + """,
+diff AS (SELECT workchunk, i, sum(CASE WHEN (comp = 'c1') = (workchunk <> (SELECT max(workchunk) FROM fit)) THEN density ELSE -density END) AS d FROM grid GROUP BY ALL HAVING count(*) = 2),
+med AS (SELECT i, quantile_cont(d, 0.5) AS m FROM diff GROUP BY i),
+bad AS (SELECT workchunk FROM diff JOIN med USING (i) GROUP BY workchunk HAVING corr(d, m) < 0.9),
+modes AS (SELECT f.comp, k, CAST(floor(sum(w * n_cuts)) AS BIGINT) AS prior FROM fit f JOIN (SELECT workchunk, comp, sum(n) AS n_cuts FROM hist GROUP BY ALL) h
+          ON f.workchunk = h.workchunk AND f.comp = h.comp GROUP BY f.comp, k)
+SELECT workchunk, comp, k, prior FROM bad, modes""",
 }

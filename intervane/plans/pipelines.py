@@ -30,15 +30,23 @@ def prepared_events(fragments: DataFrame, blacklist: DataFrame, cfg: PrepConfig)
     return points_in_intervals(events, blacklist, how="left_anti")
 
 
-def prepare(fragments: DataFrame, blacklist: DataFrame, cfg: PrepConfig | None = None) -> DataFrame:
-    """Work packages with their memory and chunk: dense regions, widened, merged, divided and packed."""
+def dense_regions(events: DataFrame, cfg: PrepConfig) -> DataFrame:
+    """Dense regions of the events, widened and merged: seqname, start_, end_."""
+    return extended(kde.dense_intervals(events, threshold=cfg.threshold, padding=cfg.selection_padding, bandwidth=cfg.bandwidth), padding=cfg.region_padding)
+
+
+def divided_regions(events: DataFrame, cfg: PrepConfig, selection: DataFrame | None = None) -> DataFrame:
+    """Work packages of the dense regions of the ``events`` or, if given, of the intervals of a ``selection``, widened and merged."""
+    regions = cut_lineage(dense_regions(events, cfg) if selection is None else extended(selection, padding=cfg.region_padding))
+    reaches = tuple(covariance(c).reach(cfg.sparsity_threshold) for c in (cfg.c1_cov, cfg.c2_cov))
+    return pack.work_packages(events, regions, cfg.interval_overlap, cfg.max_cuts, cfg.max_locs, reaches)
+
+
+def prepare(fragments: DataFrame, blacklist: DataFrame, cfg: PrepConfig | None = None, selection: DataFrame | None = None) -> DataFrame:
+    """Work packages with their memory and chunk: dense regions, or a ``selection``, widened, merged, divided and packed."""
     cfg = cfg or PrepConfig()
     events = written(prepared_events(fragments, blacklist, cfg).select("seqname", "location"))
-    dense = kde.dense_intervals(events, threshold=cfg.threshold, padding=cfg.selection_padding, bandwidth=cfg.bandwidth)
-    regions = cut_lineage(extended(dense, padding=cfg.region_padding))
-    reaches = tuple(covariance(c).reach(cfg.sparsity_threshold) for c in (cfg.c1_cov, cfg.c2_cov))
-    packages = cut_lineage(pack.work_packages(events, regions, cfg.interval_overlap, cfg.max_cuts, cfg.max_locs, reaches))
-    return pack.work_chunks(packages, cfg.memory_target, cfg.seed)
+    return pack.work_chunks(cut_lineage(divided_regions(events, cfg, selection)), cfg.memory_target, cfg.seed)
 
 
 def signal(events: DataFrame, cfg: PeakConfig | None = None, smooth: bool = True) -> DataFrame:

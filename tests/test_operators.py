@@ -284,7 +284,14 @@ def test_packages(spark):
 def test_kernels_and_lengths():
     assert covariance("Matern32(500)").reach(1e-8) == 6217 and covariance("Matern32(2000)").reach(1e-8) == 24868
     assert covariance("2 * ExpQuad(10) + Exponential(5)")(0.0) == pytest.approx(3.0)
-    for bad in ("open('x')", "Matern32(0)", "Matern32(5) * 2", ""):
+    both = covariance("2 * Matern52(7) * ExpQuad(10) ** 2 + 0.5 * Matern32(5) * 2")
+    d = np.array([0.0, 3.0, -20.0])
+    assert both(d) == pytest.approx(2 * covariance("Matern52(7)")(d) * covariance("ExpQuad(10)")(d) ** 2 + covariance("Matern32(5)")(d))
+    assert both(both.reach(1e-8)) <= 1e-8 < both(both.reach(1e-8) - 1)
+    assert covariance("RatQuad(2, 5)")(10.0) == pytest.approx((1 + 4 / 4) ** -2)
+    with pytest.raises(BadCovariance):
+        covariance("Matern32(5) + 1").reach()
+    for bad in ("open('x')", "Matern32(0)", "Matern32(2, 5)", "Matern32(5) - 1", "Matern32(5, lengthscale=2)", "(lambda: 1)()", "Matern32(x)", "3", ""):
         with pytest.raises(BadCovariance):
             covariance(bad)
     x = np.linspace(1, 5000, 400_000)
@@ -379,3 +386,27 @@ def test_group_order(spark):
     df = spark.createDataFrame([("a", 5.0), ("a", 7.0), ("b", 6.0), ("c", 1.0), ("c", None)], "g STRING, v DOUBLE")
     assert sorted(tuple(r) for r in coverage.group_order(df, "g", "v").collect()) == [("a", 6.0, 2), ("b", 6.0, 2), ("c", 1.0, 1)]
     assert [r["g"] for r in coverage.ambiguous_groups(df, "g", "v").collect()] == ["a"]
+
+
+def test_exons_labels_priors_and_sizes(spark):
+    rows = [("c", "exon", 0, 10, "g", "t1"), ("c", "exon", 5, 20, "g", "t2"), ("c", "exon", 30, 31, "g", "t1"), ("c", "gene", 0, 99, "g", None), ("c", "exon", 3, 3, "g", "t1"), ("c", "exon", 1, 2, None, "t9")]
+    features = spark.createDataFrame(rows, "seqname STRING, feature STRING, start_ BIGINT, end_ BIGINT, gene_name STRING, transcript_id STRING")
+    got = sorted((r["start_"], r["end_"], r["depth"], r["scaled"]) for r in annotation.exon_depth(features, height=0.8).collect())
+    assert got == [(0, 5, 1, 0.4), (5, 10, 2, 0.8), (10, 20, 1, 0.4), (30, 31, 1, 0.4)]
+    by = annotation.exon_depth(features, ("gene_name", "transcript_id")).filter("transcript_id = 't1'")
+    assert sorted((r["start_"], r["end_"], r["depth"]) for r in by.collect()) == [(0, 10, 1), (30, 31, 1)]
+    label = spark.range(1).select(fragments.facet_label(F.lit("a"), F.lit(None).cast("string"), F.lit(">120"))).first()[0]
+    assert label == "a >120"
+    modes = spark.createDataFrame([("c1", 0, 10.9), ("c1", 1, 2.0), ("c2", 0, 7.5)], "comp STRING, k INT, cuts DOUBLE")
+    checked = spark.createDataFrame([("x", 0.2, True), ("y", 0.99, False)], "workchunk STRING, correlation DOUBLE, flipped BOOLEAN")
+    assert sorted(tuple(r) for r in deconvolution.suggested_priors(modes, checked).collect()) == [("x", "c1", 0, 10), ("x", "c1", 1, 2), ("x", "c2", 0, 7)]
+    bins = spark.createDataFrame([("c", 0, 10, 1.0), ("c", 10, 20, 2.0), ("c", 20, 30, 3.0), ("d", 0, 10, 4.0)], "seqname STRING, start_ BIGINT, end_ BIGINT, value DOUBLE")
+    sizes = spark.createDataFrame([("c", 25)], "seqname STRING, size_ BIGINT")
+    assert sorted(r["value"] for r in tracks.within_sizes(bins, sizes).collect()) == [1.0, 2.0]
+    assert [r["value"] for r in tracks.within_sizes(bins, sizes, ("c", 11, 15)).collect()] == [2.0]
+
+
+def test_a_pile_up_is_numbered_over_partitions(spark):
+    rows = spark.range(5000).selectExpr("5000 - id AS cut_id", "'s' AS sample", "'c' AS seqname", "7L AS location")
+    got = sorted((r["number"], r["cut_id"]) for r in coverage.numbered_events(rows).collect())
+    assert got == [(i, i + 1) for i in range(5000)]
