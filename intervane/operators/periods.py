@@ -102,8 +102,8 @@ def periods_and_gaps(intervals: DataFrame, keys: Sequence[str] = ("sample", "seq
 
 
 def extended(intervals: DataFrame, keys: Sequence[str] = ("seqname",), padding: int = 10_000) -> DataFrame:
-    """Intervals widened by ``padding`` on both sides, cut at 0, and merged where they then overlap (touching ones stay apart)."""
-    wide = intervals.select(*keys, F.greatest(F.col("start_") - padding, F.lit(0)).alias("start_"), (F.col("end_") + padding).alias("end_"))
+    """Intervals widened by ``padding`` on both sides, cut at 0, and merged where they then overlap (touching ones stay apart); those with a null end are left out."""
+    wide = intervals.dropna(subset=["start_", "end_"]).select(*keys, F.greatest(F.col("start_") - padding, F.lit(0)).alias("start_"), (F.col("end_") + padding).alias("end_"))
     return periods(wide, keys, touching=False).select(*keys, "start_", "end_", F.col("n").alias("n_merged"))
 
 

@@ -294,7 +294,7 @@ SELECT sample, seqname, location AS start_, following AS end_, depth FROM c WHER
     + _MERGE
     + """
 wide AS (SELECT sample, seqname, greatest(start_ - 500, 0) AS s, end_ + 500 AS e FROM (SELECT DISTINCT peak_id, sample, seqname, start_, end_ FROM peaks
-         WHERE sample IS NOT NULL AND seqname IS NOT NULL) WHERE greatest(start_ - 500, 0) < end_ + 500),
+         WHERE sample IS NOT NULL AND seqname IS NOT NULL AND start_ IS NOT NULL AND end_ IS NOT NULL) WHERE greatest(start_ - 500, 0) < end_ + 500),
 l AS (SELECT *, sum(CASE WHEN s < reach THEN 0 ELSE 1 END) OVER (PARTITION BY sample, seqname ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS label
       FROM (SELECT *, max(e) OVER (PARTITION BY sample, seqname ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM wide))
 SELECT sample, seqname, min(s) AS start_, max(e) AS end_, count(*) AS n_merged FROM l GROUP BY sample, seqname, label""",

@@ -50,6 +50,8 @@ def test_merge_and_extend(spark):
     got = sorted(tuple(r) for r in periods.merged(df).collect())
     assert got == [("a", 0, 10, 1, 1.0), ("a", 10, 30, 2, 2.5), ("a", 40, 50, 1, 4.0), ("b", 5, 6, 1, 5.0)]
     assert sorted(tuple(r) for r in periods.extended(df, padding=5).collect()) == [("a", 0, 35, 3), ("a", 35, 55, 1), ("b", 0, 11, 1)]
+    holes = spark.createDataFrame([(6, "a", None, 900, 1.0), (7, "b", 3, None, 1.0)], df.schema)
+    assert sorted(tuple(r) for r in periods.extended(df.unionByName(holes), padding=5).collect()) == [("a", 0, 35, 3), ("a", 35, 55, 1), ("b", 0, 11, 1)]
     assert tuple(periods.covered_fraction(periods.periods(df, ("seqname",))).first()) == (41, 56, 41 / 56)
     assert tuple(periods.covered_fraction(df.limit(0)).first()) == (None, None, None)
 
