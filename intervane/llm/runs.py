@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from intervane.operators.shards import shard_of
-from intervane.session import cut_lineage
+from intervane.session import written
 
 
 def agglomerate(positions: np.ndarray, breaks: np.ndarray, max_gap: int, min_similarity: float) -> np.ndarray:
@@ -144,7 +144,7 @@ def run_labels(
     so a pile-up of any size is one row and a shard holds at most ``shard_width``
     rows. Shards are collapsed by adjacent agglomeration (:func:`agglomerate`)
     and joined at their edges through one row per shard. What the collapse leaves
-    is written to the checkpoint folder, since edges and rows both come from it.
+    is written once, since edges and rows both come from it.
     """
     if max_gap < 0 or shard_width < 1:
         raise ValueError("max_gap must not be negative and shard_width not below 1")
@@ -156,7 +156,7 @@ def run_labels(
         .agg(F.min("id").alias("low_id"), F.max("id").alias("high_id"), F.count("id").alias("n"))
         .withColumn("shard", shard_of("at", shard_width))
     )
-    local = cut_lineage(_local_runs(spots, cells, max_gap, min_similarity, members))
+    local = written(_local_runs(spots, cells, max_gap, min_similarity, members))
     linked = lambda gap: (gap <= max_gap) & (F.lit(1.0) / (1 + gap) >= min_similarity)
     inner = F.struct(F.col("run").alias("start"), F.col("run_end").alias("end"), F.col("run_low").alias("low"), F.col("run_high").alias("high"), F.col("run_n").alias("n"))
     whole = F.when(F.col("run") == F.col("f_run"), F.col("f")).when(F.col("run") == F.col("l_run"), F.col("l")).otherwise(inner)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from intervane.llm.mail_ending import message_ending
-from intervane.session import cut_lineage
+from intervane.session import cut_lineage, written
 
 #: What a limit may count. Bytes are UTF-8; the body follows the first blank line.
 MEASURES = ("chars", "bytes", "body_chars", "body_bytes")
@@ -48,17 +48,33 @@ def _by_measure(lengths: DataFrame) -> DataFrame:
     return lengths.filter("chars IS NOT NULL").select("doc_id", "source", F.explode(pairs).alias("x")).select("doc_id", "source", "x.measure", "x.length")
 
 
+def _significant(tested: DataFrame, alpha: float) -> DataFrame:
+    """``tested`` (n events where ``mean`` are expected; written before, since it is read twice) with ``p`` and ``significant``.
+
+    ``p`` is the Chernoff bound of the upper Poisson tail, which is never below the
+    exact tail. ``significant`` is the Benjamini-Hochberg procedure over all rows at the
+    false-discovery rate ``alpha``, on p rounded up to steps of e**(1/64): ranks are then
+    counted over a bounded number of steps, however many rows there are.
+    """
+    excess = F.col("n") * F.log(F.col("n") / F.col("mean")) - F.col("n") + F.col("mean")
+    tested = tested.withColumn("p", F.when(F.col("n") > F.col("mean"), F.exp(-excess)).otherwise(1.0))
+    step = F.coalesce(F.least(F.floor(-F.log("p") * 64), F.lit(64 * 700)), F.lit(64 * 700))  # p may round to 0
+    few = tested.filter(F.col("p") <= alpha).groupBy(step.alias("step")).agg(F.count("*").alias("ties"))
+    rank = F.sum("ties").over(Window.orderBy(F.desc("step")))
+    passing = F.exp(-F.col("step") / 64) * tested.select(F.count("*")).scalar() <= alpha * F.col("rank")
+    cutoff = few.withColumn("rank", rank).filter(passing).select(F.min("step")).scalar()
+    return tested.withColumn("significant", F.coalesce(step >= cutoff, F.lit(False)))
+
+
 def length_hazards(lengths: DataFrame, reach: int = 50, min_count: int = 3, alpha: float = 0.001) -> DataFrame:
     """Discrete hazard of every text length, per source and measure, and its test.
 
     ``hazard`` is the share of the texts at least ``length`` long that end
     exactly there; ``expected`` is the mean hazard of the ``reach`` lengths on
     either side (with half a text added, so that an empty neighbourhood has a
-    hazard too). ``p`` is the Chernoff bound of the upper Poisson tail of the
-    count under ``expected``, which is never below the exact tail.
-    ``significant`` holds where the Benjamini-Hochberg procedure over all tested
-    lengths keeps the false-discovery rate at ``alpha`` and at least
-    ``min_count`` texts have the length.
+    hazard too). ``significant`` holds where the count is beyond what ``expected`` leads to
+    (see :func:`_significant`; lengths of fewer than ``min_count`` texts are tested, but
+    never significant).
 
     Texts are first counted per (source, measure, length); a window then holds
     at most one row per distinct length. A null source is a source of its own.
@@ -73,19 +89,12 @@ def length_hazards(lengths: DataFrame, reach: int = 50, min_count: int = 3, alph
         counts.withColumn("at_risk", risk)
         .withColumn("nearby", F.sum("n").over(around) - F.col("n"))
         .withColumn("hazard", F.col("n") / F.col("at_risk"))
-        .withColumn("expected", (F.col("nearby") + 0.5) / (2 * reach) / F.col("at_risk"))
+        .withColumn("mean", (F.col("nearby") + 0.5) / (2 * reach))
+        .withColumn("expected", F.col("mean") / F.col("at_risk"))
+        .drop("nearby")
     )
-    mean = F.col("expected") * F.col("at_risk")
-    excess = F.col("n") * F.log(F.col("n") / mean) - F.col("n") + mean
-    # one row per source, measure and distinct length, written once: it is read for the number of tests, the ranks and the verdicts
-    tested = cut_lineage(tested.withColumn("p", F.when(F.col("n") > mean, F.exp(-excess)).otherwise(1.0)))
-    enough = F.col("n") >= min_count
-    # a length with p above alpha passes at no rank, so only the few below it are ranked
-    few = tested.filter((F.col("p") <= alpha) & enough).groupBy("p").agg(F.count("*").alias("ties"))
-    ranked = few.withColumn("rank", F.sum("ties").over(Window.orderBy("p")))
-    n_tests = tested.select(F.count("*")).scalar()
-    cutoff = ranked.filter(F.col("p") * n_tests <= alpha * F.col("rank")).select(F.max("p")).scalar()
-    return tested.withColumn("significant", enough & F.coalesce(F.col("p") <= cutoff, F.lit(False))).drop("nearby")
+    judged = _significant(cut_lineage(tested), alpha)
+    return judged.withColumn("significant", F.col("significant") & (F.col("n") >= min_count)).drop("mean")
 
 
 def _with_limit(rows: DataFrame, limits: DataFrame) -> DataFrame:
@@ -142,47 +151,60 @@ def _last_lines(lengths_and_text: DataFrame) -> DataFrame:
     return lengths_and_text.mapInArrow(read, f"{schema}, state STRING, line STRING")
 
 
-def common_lines(documents: DataFrame, short: int = 50, support: int = 3, min_ended: float = 0.05) -> DataFrame:
-    """Normalised lines at which messages of the collection end on purpose.
+def line_hazards(documents: DataFrame, short: int = 50, prior: float = 20.0, alpha: float = 0.01) -> DataFrame:
+    """Discrete hazard that a paragraph ends at a line, per kind of line, and its test: known, at_risk, n, hazard, mean, p, significant.
 
-    A line shorter than ``short`` that is followed by a line break and does not
-    end a sentence was broken by its writer, not by wrapping: a greeting, a name,
-    a footer. Lines seen at least ``support`` times in the whole collection
-    count if a blank line or the end of the message follows at least the share
-    ``min_ended`` of them: a fragment such as "the" reaches any number in a large
-    collection, but a paragraph hardly ever ends with it. The names of all
-    senders, with which messages are signed, count too.
-    """
-    def written(line: Column) -> Column:
-        return (line != "") & (F.char_length(line) < short) & ~F.substring(line, -1, 1).isin(*_ENDS)
+    The unit is the line, the event that a blank line or the end of the message follows.
+    Lines of at least ``short`` characters were broken by wrapping, and a paragraph
+    ends at one that does not end a sentence by chance. The hazards of all their
+    lengths are the neighbours that a shorter kind is tested against: their median,
+    weighted by lines, which boilerplate of one length does not move (with one event in
+    ``prior`` lines added, for archives without such lines), under false-discovery
+    control over all kinds. A kind is the normalised line; lines that end a sentence and
+    lines without a line break (where a text stops) are of none. At significant kinds,
+    greetings, names and footers, messages end on purpose.
 
+    The rule has no count that a kind must reach, so it behaves alike in archives of any
+    size: what wrapping or cutting makes by chance keeps the pooled hazard however often
+    it comes.
+    """
     rest = F.size("lines") - 1
-    ended = (F.char_length("below") < short) & (_plain_line(F.col("below")) == "")
+    blank = F.col("below").rlike(r"^(?:<[^<>]{0,200}>|&gt;|[>|\s])*$")
     lines = (
         documents.filter("instr(text, '\n') > 0")
         .select(F.split("text", "\n", -1).alias("lines"))
-        .select(F.slice("lines", F.lit(1), rest).alias("line"), F.slice("lines", F.lit(2), rest).alias("below"))
-        .select(F.explode(F.filter(F.arrays_zip("line", "below"), lambda x: (x["line"] != "") & (F.char_length(x["line"]) < short))).alias("x"))
+        .select(F.explode(F.arrays_zip(F.slice("lines", F.lit(1), rest).alias("line"), F.slice("lines", F.lit(2), rest).alias("below"))).alias("x"))
         .select("x.line", "x.below")
-        .select(_plain_line(F.col("line")).alias("known"), ended.cast("int").alias("ended"))
-        .filter((F.col("known") != "") & ~F.col("known").rlike(_TERMINALS))
-        .groupBy("known")
-        .agg(F.count("*").alias("seen"), F.avg("ended").alias("share"))
-        .filter((F.col("seen") >= support) & (F.col("share") >= min_ended))
-        .select("known")
+        .filter((F.col("line") != "") & ~F.substring("line", -1, 1).isin(*_ENDS))
     )
+    length = F.when(F.char_length("line") >= short, F.least(F.char_length("line"), F.lit(20 * short)))
+    kind = F.when(length.isNull(), _plain_line(F.col("line")))
+    kinds = lines.select(length.alias("length"), kind.alias("known"), ((F.char_length("below") < short) & blank).cast("bigint").alias("ended"))
+    kinds = kinds.filter(F.col("known").isNull() | ((F.col("known") != "") & ~F.col("known").rlike(_TERMINALS)))
+    kinds = written(kinds.groupBy("length", "known").agg(F.count("*").alias("at_risk"), F.sum("ended").alias("n")))
+    hazard = F.col("n") / F.col("at_risk")
+    # one row per length, at most twenty times short
+    wrapped = kinds.filter("length IS NOT NULL").agg(F.percentile(hazard, 0.5, F.col("at_risk")).alias("usual"), F.sum("at_risk").alias("lines"))
+    seen = F.coalesce("lines", F.lit(0))
+    chance = wrapped.select((F.coalesce("usual", F.lit(0.0)) * seen + 1) / (seen + prior)).scalar()
+    tested = kinds.filter("known IS NOT NULL").select("known", "at_risk", "n", hazard.alias("hazard"), (F.col("at_risk") * chance).alias("mean"))
+    return _significant(tested, alpha)
+
+
+def known_endings(documents: DataFrame, **test: float) -> DataFrame:
+    """``known``: lines at which messages of the archive end on purpose (see :func:`line_hazards`), and the names of all senders, with which they are signed."""
     head = F.substring_index("text", "\n\n", 1)
     sender = F.regexp_extract(head, r"(?m)^From: \"?([^\"<\n]+?)\"? *<", 1)
     names = documents.select(_plain_line(sender).alias("known")).filter("known != ''")
-    return lines.unionByName(names).distinct()
+    return line_hazards(documents, **test).filter("significant").select("known").unionByName(names).distinct()
 
 
-def text_endings(documents: DataFrame, support: int = 3) -> DataFrame:
+def text_endings(documents: DataFrame) -> DataFrame:
     """doc_id, source, the four lengths and ``ending`` (see :func:`truncated_texts`) of every text."""
     ends = _last_lines(text_lengths(documents)).withColumn("line", _plain_line(F.col("line")))
     words = F.col("state") == "text"
     ends = ends.withColumn("asked", F.when(words & ~F.col("line").rlike(_TERMINALS) & (F.col("line") != ""), F.col("line")))
-    ends = ends.join(common_lines(documents, support=support), F.col("asked") == F.col("known"), "left")
+    ends = ends.join(known_endings(documents), F.col("asked") == F.col("known"), "left")
     ending = (
         F.when(~words, F.col("state"))
         .when(F.col("line") == "", "known")
@@ -194,8 +216,8 @@ def text_endings(documents: DataFrame, support: int = 3) -> DataFrame:
     return ends.select("doc_id", "source", *MEASURES, ending.alias("ending"))
 
 
-def truncated_texts(documents: DataFrame, support: int = 3, min_incomplete: float = 0.5, **test: float) -> DataFrame:
-    """Every text with its ending and the verdict: doc_id, source, ending, measure, length, truncated.
+def truncated_texts(documents: DataFrame, min_incomplete: float = 0.5, **test: float) -> DataFrame:
+    """Every text with its ending and the verdict: doc_id, source, ending, measure, length, truncated, found_by.
 
     ``ending`` is ``closed`` (closing boundary, end of the HTML, a quotation
     shortened by its author), ``broken`` (cut inside an encoding, a boundary or
@@ -207,10 +229,12 @@ def truncated_texts(documents: DataFrame, support: int = 3, min_incomplete: floa
     ``measure`` and ``length`` are the length limit the text meets, if the hazard
     there is significant (see :func:`length_hazards` and :func:`length_limits`).
 
-    At a limit a text is truncated unless it is closed: almost all texts there
-    were cut, wherever the cut fell, and a closed one lost no more than a line
-    break. Elsewhere (a transfer broke off) it is truncated where its ending is
-    broken or open.
+    At a limit a text is truncated unless it shows its own end: the hazard says that
+    almost all texts there were cut, wherever the cut fell, and a closed one lost no
+    more than a line break (``found_by`` is ``limit``). A transfer that broke off has no
+    length in common with others. What it lacks is a place where messages end: its text
+    stops inside an encoding, or at a line whose hazard of ending is no more than
+    chance (``found_by`` is ``line``).
 
     Endings are read once from the whole texts; the narrow table of lengths and
     endings is written to the checkpoint folder, since both the limits and the
@@ -221,29 +245,27 @@ def truncated_texts(documents: DataFrame, support: int = 3, min_incomplete: floa
     own, and also held against the limits of all others; extra columns are
     ignored; an empty table gives an empty result.
     """
-    ends = cut_lineage(text_endings(documents.select("doc_id", "source", "text"), support))
+    ends = written(text_endings(documents.select("doc_id", "source", "text")))
     limited = _with_limit(ends, length_limits(ends, min_incomplete, **test))
     at_limit = F.col("hit").isNotNull() & ~F.col("ending").isin("closed", "empty")
+    by_line = F.col("ending").isin("broken", "open")
     return limited.select(
         "doc_id",
         "source",
         "ending",
         F.col("hit.measure").alias("measure"),
         F.col("hit.length").alias("length"),
-        (at_limit | F.col("ending").isin("broken", "open")).alias("truncated"),
+        (at_limit | by_line).alias("truncated"),
+        F.when(at_limit, "limit").when(by_line, "line").alias("found_by"),
     )
 
 
 def truncation_report(documents: DataFrame, **options: float) -> DataFrame:
-    """Per source: texts, truncated texts, those at a limit, and the rate."""
+    """Per source: texts, truncated texts, those cut at a limit and those that broke off elsewhere, and the rate."""
     cut = F.col("truncated").cast("bigint")
+    by = lambda how: F.count(F.when(F.col("found_by") == how, 1))
     return (
         truncated_texts(documents, **options)
         .groupBy("source")
-        .agg(
-            F.count("*").alias("n_texts"),
-            F.sum(cut).alias("n_truncated"),
-            F.sum(F.when(F.col("measure").isNotNull(), cut).otherwise(0)).alias("n_at_limit"),
-            F.avg(cut.cast("double")).alias("rate"),
-        )
+        .agg(F.count("*").alias("n_texts"), F.sum(cut).alias("n_truncated"), by("limit").alias("n_at_limit"), by("line").alias("n_broken_off"), F.avg(cut.cast("double")).alias("rate"))
     )

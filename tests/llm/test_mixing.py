@@ -37,6 +37,14 @@ def test_mixes(spark):
                 assert max(r["copies"] for r in taken) - min(r["copies"] for r in taken) <= 1
         assert shares["b", "none"]["tokens"] == 0
         assert shares["c", "none"]["share"] is None
+    # a total that one source cannot give its share of
+    total = 4 * available["small"] / 0.2
+    capped = {(r["mix_name"], r["source"]): r for r in mix_shares(mixed(sizes, wanted, total=int(total)), sizes, wanted, total=int(total)).collect()}
+    small = capped["a", "small"]
+    assert small["tokens"] == 3 * available["small"] and abs(small["shortfall"] - available["small"]) <= 1
+    assert abs(capped["b", "small"]["tokens"] - min(4 * available["small"], total / 3)) <= 450
+    tiny = {r["source"]: r for r in mix_shares(mixed(sizes, wanted, total=9000), sizes, wanted, total=9000).filter("mix_name = 'a'").collect()}
+    assert all(r["shortfall"] == 0 for r in tiny.values()) and sum(r["tokens"] for r in tiny.values()) == pytest.approx(9000, abs=1350)
     assert mixed(sizes.limit(0), wanted).count() == 0 == mixed(sizes, wanted.limit(0)).count()
 
 

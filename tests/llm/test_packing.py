@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from intervane.llm.packing import balanced_groups, pack_tiers, pack_usage, packed
+from intervane.llm.packing import balanced_groups, context_tiers, pack_tiers, pack_usage, packed, packing_faults
 
 SCHEMA = "doc_id BIGINT, n_tokens BIGINT, piece STRING, pack_name STRING"
 
@@ -39,9 +39,12 @@ def test_packed(spark, seed, shard):
     rng = random.Random(seed)
     sizes = [(i, rng.choice([rng.randint(0, 40), rng.randint(1, 700), 64, None, 0])) for i in range(600)] + [(None, 30), (5, 9), (5, 9)]
     capacities = {"short": 16, "medium": 64, "long": 256}
-    frame = packed(spark.createDataFrame([(*x, "p", "q") for x in sizes], SCHEMA), capacities, shard_items=shard, group_size=4).cache()
+    source = spark.createDataFrame([(*x, "p", "q") for x in sizes], SCHEMA)
+    frame = packed(source, capacities, shard_items=shard, group_size=4).cache()
     rows = frame.collect()
     check(rows, sizes, capacities)
+    faults = packing_faults(frame, source, capacities).collect()
+    assert {r["pack_name"] for r in faults} == set(capacities) and all(r["n_lost"] == r["n_overfull"] == r["n_divided"] == 0 for r in faults)
     for r in pack_usage(frame, capacities).collect():
         assert r["fill"] > (0.99 if shard > 1000 else 0.9)
         assert r["n_tokens"] == sum(n or 0 for _, n in sizes)
@@ -66,10 +69,15 @@ def test_pack_tiers_against_lower_bound():
     for _ in range(30):
         capacity = rng.randint(5, 200)
         sizes = [rng.randint(1, capacity) for _ in range(rng.randint(0, 300))]
-        where = pack_tiers(sizes, capacity, [capacity // 4, capacity // 2, capacity, capacity * 4])
-        load = Counter()
-        for s, c in zip(sizes, where):
+        where, offset, tier = pack_tiers(sizes, capacity, [capacity // 4, capacity // 2, capacity, capacity * 4])
+        load, spans = Counter(), defaultdict(list)
+        for s, c, o, t in zip(sizes, where, offset, tier):
             load[c] += s
+            spans[c].append((o, s))
+            assert s <= t and t in (capacity // 4, capacity // 2, capacity) and not any(s <= x < t for x in (capacity // 4, capacity // 2))
+        for c, inside in spans.items():
+            inside.sort()
+            assert [o for o, _ in inside] == [sum(s for _, s in inside[:i]) for i in range(len(inside))]
         assert all(x <= capacity for x in load.values())
         assert sorted(load) == list(range(len(load)))
         # no two containers could be one
@@ -77,6 +85,25 @@ def test_pack_tiers_against_lower_bound():
         assert len(light) < 2 or sum(light) > capacity
 
 
+def test_tiers_shape_the_containers():
+    """Short texts fill windows of their own size, which go into containers whole; texts of long windows are completed from shorter tiers."""
+    rng = random.Random(8)
+    sizes = [rng.randint(1, 8) for _ in range(4000)]
+    assert context_tiers(64, 4, 4) == [64, 16, 4]
+    where, offset, tier = pack_tiers(sizes, 64, [64, 16])
+    assert (where, offset) != pack_tiers(sizes, 64, [])[:2] and set(tier) == {16}
+    crossing = sum(o // 16 != (o + s - 1) // 16 for o, s in zip(offset, sizes))
+    plain = pack_tiers(sizes, 64, [])
+    assert crossing < 0.02 * len(sizes) < sum(o // 16 != (o + s - 1) // 16 for o, s in zip(plain[1], sizes))
+    long = [rng.randint(40, 63) for _ in range(100)]
+    where, _, tier = pack_tiers([*sizes, *long], 64, [64, 16])
+    load = Counter()
+    for c, s in zip(where, [*sizes, *long]):
+        load[c] += s
+    assert tier[4000:] == [64] * 100 and all(load[c] == 64 for c in where[4000:])
+    assert len(load) == -(-sum(load.values()) // 64)
+
+
 def test_balanced_groups():
     costs = [float(x) for x in range(40)]
     groups = balanced_groups(costs, 10)

@@ -7,7 +7,7 @@ import pytest
 
 from intervane.llm.mail_ending import message_ending
 from intervane.llm.tokens import encoder, token_counts
-from intervane.llm.truncation import length_hazards, text_endings, truncated_texts, truncation_report
+from intervane.llm.truncation import length_hazards, line_hazards, text_endings, truncated_texts, truncation_report
 
 SCHEMA = "doc_id BIGINT, text STRING, source STRING, ending STRING, length INT"
 HEAD = "From: Ada Lind <ada@x.example>\nTo: b@x.example\nSubject: runs\n\n"
@@ -49,7 +49,11 @@ def test_archives(spark):
     assert len(found - want) <= 0.02 * len(want)
     limits = {(r["source"], r["measure"], r["length"]) for r in got if r["measure"]}
     assert {("chars", "chars", 1200), ("bytes", "bytes", 1500)} <= limits
+    assert all((r["found_by"] == "limit") == (r["measure"] is not None) for r in got if r["truncated"])
+    assert all(r["found_by"] is None for r in got if not r["truncated"])
     report = {r["source"]: r for r in truncation_report(frame).collect()}
+    assert all(r["n_at_limit"] + r["n_broken_off"] == r["n_truncated"] for r in report.values())
+    assert report["free"]["n_broken_off"] == report["free"]["n_truncated"] > 0
     assert report["free"]["n_at_limit"] == 0 and report["chars"]["rate"] > 0.3
     assert truncated_texts(frame.limit(0)).count() == 0
 
@@ -146,6 +150,18 @@ def test_wrapped_fragments_excuse_no_cut(spark, size):
     assert (got[9000], got[9001]) == ("open", "known")
 
 
+@pytest.mark.parametrize("times", [1, 20])
+def test_line_hazards_at_any_size(spark, times):
+    """A greeting is significant, a fragment of wrapped lines is not, however large the archive; the counts are those made by hand."""
+    wrapped = "these lines of the message were broken by a program that wraps them"
+    rows = [(i, HEAD + f"{wrapped}\n" * 9 + "and the\n" + f"{wrapped}\n" * 3 + ("and the\n\n" if i == 0 else "") + "Text.\n\nAll the best\n", "s", "", 1) for i in range(30 * times)]
+    got = {r["known"]: r for r in line_hazards(spark.createDataFrame(rows, SCHEMA)).collect()}
+    best, part = got["all the best"], got["and the"]
+    assert (best["n"], best["at_risk"], best["significant"]) == (30 * times, 30 * times, True)
+    assert (part["n"], part["at_risk"], part["significant"]) == (1, 30 * times + 1, False)
+    assert line_hazards(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
 def test_tokens(spark):
     texts = [(1, "Hello world"), (2, None), (3, ""), (4, "größe\n\n 日本語 <|endoftext|>" * 50)]
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts(spark.createDataFrame(texts, "doc_id BIGINT, text STRING"), ["doc_id"]).collect()}
