@@ -20,10 +20,10 @@ from intervane.operators.coverage import weighted_quantile
 from intervane.operators.range_join import points_in_intervals
 
 
-def cuts_by_target(cuts: DataFrame, peaks: DataFrame) -> DataFrame:
-    """Cuts within peaks of their own sample, with the peak's track as ``comp``; a cut in several peaks of a track counts once."""
-    usable = peaks.select("sample", "seqname", "track", "start_", F.expr("end_ - 1").alias("end_")).dropna()
-    hits = points_in_intervals(cuts, usable, ("sample", "seqname"))
+def cuts_by_target(cuts: DataFrame, peaks: DataFrame, keys: Sequence[str] = ("sample", "seqname")) -> DataFrame:
+    """Cuts within peaks of their own sample (or other ``keys``), with the peak's track as ``comp``; a cut in several peaks of a track counts once."""
+    usable = peaks.select(*keys, "track", "start_", F.expr("end_ - 1").alias("end_")).dropna()
+    hits = points_in_intervals(cuts, usable, keys)
     return hits.select("cut_id", "sample", "seqname", "location", F.abs("length").alias("length"), F.col("i_track").alias("comp")).distinct()
 
 

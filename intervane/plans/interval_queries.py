@@ -413,6 +413,14 @@ def flip_check_planted(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(deconvolution.flip_check(fit.withColumn("comp", F.when(F.col("workchunk") == last, other).otherwise(F.col("comp")))), "correlation")
 
 
+@query
+def unflipped_cuts(spark: SparkSession, folder: str) -> DataFrame:
+    """Cuts per sample, without the one whose targets were exchanged on purpose."""
+    cuts = table(spark, folder, "cuts")
+    kept = deconvolution.without_flipped(cuts.select("cut_id", "sample").distinct(), flip_check_planted(spark, folder))
+    return kept.groupBy("sample").agg(F.count("*").alias("n_cuts"))
+
+
 @query
 def suggested_priors(spark: SparkSession, folder: str) -> DataFrame:
     """Priors to fit again the chunk whose targets were exchanged on purpose."""

@@ -453,6 +453,15 @@ SELECT workchunk, round(corr(d, m), 6) AS correlation, corr(d, m) < 0.9 AS flipp
     + _FIT
     + """SELECT DISTINCT sample AS workchunk FROM cuts WHERE sample NOT IN (
   SELECT workchunk FROM fit WHERE NOT (comp = 'c2' AND workchunk = (SELECT min(workchunk) FROM fit)) GROUP BY workchunk HAVING count(DISTINCT comp) = 2)""",
+    "unflipped_cuts": "WITH"
+    + _FIT
+    + ",\n"
+    + _grid(L.CHECK_SDS)
+    + """,
+diff AS (SELECT workchunk, i, sum(CASE WHEN (comp = 'c1') = (workchunk <> (SELECT max(workchunk) FROM fit)) THEN density ELSE -density END) AS d FROM grid GROUP BY ALL HAVING count(*) = 2),
+med AS (SELECT i, quantile_cont(d, 0.5) AS m FROM diff GROUP BY i),
+bad AS (SELECT workchunk FROM diff JOIN med USING (i) GROUP BY workchunk HAVING corr(d, m) < 0.9)
+SELECT sample, count(*) AS n_cuts FROM (SELECT DISTINCT cut_id, sample FROM cuts) c WHERE NOT EXISTS (SELECT 1 FROM bad WHERE workchunk = sample) GROUP BY sample""",
     "suggested_priors": "WITH"
     + _FIT
     + ",\n"

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from intervane.config import PeakConfig, PrepConfig
 from intervane.functions.kernels import covariance
+from intervane.operators import deconvolution
 from intervane.operators import density as kde
 from intervane.operators import fragments as frag
 from intervane.operators import packages as pack
 from intervane.operators import peaks as pk
 from intervane.operators.periods import extended
 from intervane.operators.range_join import points_in_intervals
-from intervane.operators.tracks import smoothed
+from intervane.operators.tracks import binned, smoothed, within_sizes
 from intervane.session import cut_lineage, written
 
 
@@ -114,3 +115,24 @@ def events_of_targets(fragments: DataFrame) -> DataFrame:
     rows = frag.deduplicated(fragments.filter("seqname IS NOT NULL"))
     track = F.when(F.abs("length") > 120, "c2").otherwise("c1")
     return frag.to_events(rows.withColumn("track", track).select("fragment_id", "seqname", "start_", "end_", "track"))
+
+
+def event_likelihoods(fragments: DataFrame, peaks: DataFrame, cfg: PeakConfig | None = None, exclude_flipped: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(cuts, likelihoods)``: the cuts of the fragments and their likelihood under either target.
+
+    ``fragments``: fragment_id, sample, seqname, start_, end_, barcode, length. ``peaks``:
+    seqname, start_, end_, track, called from all samples. Lengths are fitted per
+    sample; with ``exclude_flipped`` samples whose targets seem exchanged are left out.
+    """
+    number = F.when(F.col("variable") == "start", 0).otherwise(1)
+    cuts = frag.to_events(fragments).withColumn("cut_id", 2 * F.col("fragment_id") + number)
+    counts = cut_lineage(deconvolution.length_counts(deconvolution.cuts_by_target(cuts, peaks, ("seqname",))))
+    weights = cut_lineage(deconvolution.fit_length_weights(counts))
+    if exclude_flipped:
+        cuts = deconvolution.without_flipped(cuts, deconvolution.flip_check(weights))
+    return cuts, deconvolution.cut_likelihoods(cuts, two_tracks(events_of_targets(fragments), cfg), weights)
+
+
+def binned_tracks(signal: DataFrame, sizes: DataFrame, unit: int = 100, region: tuple[str, int, int] | None = None) -> dict[str, DataFrame]:
+    """Mean signal of either target per bin of ``unit`` positions, within the sizes of the sequences and the region: seqname, start_, end_, the signal."""
+    return {c: within_sizes(binned(signal, ["seqname"], c, unit, F.lit(0).cast("bigint")), sizes, region) for c in ("c1", "c2")}

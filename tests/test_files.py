@@ -1,10 +1,12 @@
 """Readers, writers, the stream, the pipelines over files, and the registration of queries."""
 
 import gzip
+import random
 
 import pytest
 
 import __spark_entry__ as entry
+from intervane import __main__ as command
 from intervane.errors import MissingData, NoData
 from intervane.operators.packages import work_chunks
 from intervane.session import cut_lineage, written
@@ -88,3 +90,29 @@ def test_registration(spark):
     assert set(sql) <= set(queries)
     assert {"p1_found", "p2_found", "p4_found"} <= set(queries)
     assert entry.entry(spark).count() > 0
+
+
+def test_commands(spark, tmp_path):
+    """The commands over files, from fragments to packages, peaks, likelihoods and tracks."""
+    rng = random.Random(4)
+    for sample, (place, length) in {"c1": (20_000, 70), "c2": (21_500, 210)}.items():
+        lines = []
+        for i in range(400):
+            start = int(rng.gauss(place, 250))
+            lines.append(f"chr1\t{start}\t{start + length + rng.randint(-9, 9)}\tB{i}\n")
+        (tmp_path / f"{sample}.bed").write_text("".join(lines))
+    (tmp_path / "chosen.bed").write_text("chr1\t19000\t20500\n")
+    (tmp_path / "sizes").write_text("chr1 22000\n")
+    at = lambda name: str(tmp_path / name)
+    command.main(["prep", at("c1.bed"), at("c2.bed"), "--out", at("all"), "--interval-overlap", "500"])
+    command.main(["prep", at("c1.bed"), at("c2.bed"), "--out", at("some"), "--interval-overlap", "500", "--region-padding", "0", "--selection-bed", at("chosen.bed"), "--bc-from-file", "(c1)[.]bed"])
+    whole, part = (sinks.read_packages(spark, at(name)).agg({"ncuts": "sum"}).first()[0] for name in ("all", "some"))
+    assert whole == 1600 and 0 < part <= 800
+    command.main(["peaks", at("c1.bed"), at("c2.bed"), at("peaks"), "--c2-smooth", "0"])
+    assert files.read_intervals(spark, at("peaks/c1_peaks.bed")).count() >= 1
+    command.main(["events", at("c1.bed"), at("c2.bed"), at("peaks"), at("events")])
+    scores = spark.read.csv(at("events/events_c1.bed"), sep="\t", schema="seqname STRING, at BIGINT, after BIGINT, barcode STRING, score DOUBLE, share DOUBLE").collect()
+    assert len(scores) == 1600 and all(r["share"] is None or 0 <= r["share"] <= 1 for r in scores)
+    command.main(["tracks", at("c1.bed"), at("c2.bed"), at("sizes"), at("tracks"), "--region", "chr1:20,000-21,000"])
+    bins = files.read_bedgraph(spark, at("tracks/c1.bedgraph")).collect()
+    assert bins and all(19_900 <= r["start_"] <= 21_000 and r["end_"] <= 22_000 for r in bins)
