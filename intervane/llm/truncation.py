@@ -180,8 +180,9 @@ def line_hazards(documents: DataFrame, short: int = 50, prior: float = 20.0, alp
     length = F.when(F.char_length("line") >= short, F.least(F.char_length("line"), F.lit(20 * short)))
     kind = F.when(length.isNull(), _plain_line(F.col("line")))
     kinds = lines.select(length.alias("length"), kind.alias("known"), ((F.char_length("below") < short) & blank).cast("bigint").alias("ended"))
-    kinds = kinds.filter(F.col("known").isNull() | ((F.col("known") != "") & ~F.col("known").rlike(_TERMINALS)))
+    # counted and written before the kinds are looked at: a filter on the normalised line would work it out again for every line
     kinds = written(kinds.groupBy("length", "known").agg(F.count("*").alias("at_risk"), F.sum("ended").alias("n")))
+    kinds = kinds.filter(F.col("known").isNull() | ((F.col("known") != "") & ~F.col("known").rlike(_TERMINALS)))
     hazard = F.col("n") / F.col("at_risk")
     # one row per length, at most twenty times short
     wrapped = kinds.filter("length IS NOT NULL").agg(F.percentile(hazard, 0.5, F.col("at_risk")).alias("usual"), F.sum("at_risk").alias("lines"))
