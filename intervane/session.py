@@ -38,11 +38,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed with what is in it when the session ends."""
+    path = f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, of which later steps read some columns each; removed when the session ends."""
-    context = df.sparkSession.sparkContext
-    path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
     return df.sparkSession.read.parquet(path)

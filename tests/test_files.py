@@ -2,14 +2,15 @@
 
 import gzip
 import random
+from types import SimpleNamespace
 
 import pytest
 
 import __spark_entry__ as entry
 from intervane import __main__ as command
-from intervane.errors import MissingData, NoData
+from intervane.errors import ArgumentError, MissingData, NoData
 from intervane.operators.packages import work_chunks
-from intervane.session import cut_lineage, written
+from intervane.session import _shared_folder, cut_lineage, written
 from intervane.sources import interval_files as files
 from intervane.sources import interval_sinks as sinks
 from intervane.streaming.fragments import LINES, reject_rates, stream_lines, stream_parsed
@@ -116,3 +117,12 @@ def test_commands(spark, tmp_path):
     command.main(["tracks", at("c1.bed"), at("c2.bed"), at("sizes"), at("tracks"), "--region", "chr1:20,000-21,000"])
     bins = files.read_bedgraph(spark, at("tracks/c1.bedgraph")).collect()
     assert bins and all(19_900 <= r["start_"] <= 21_000 and r["end_"] <= 22_000 for r in bins)
+
+
+def test_intermediate_data_needs_a_shared_folder_on_a_cluster():
+    kept = {}
+    context = SimpleNamespace(getCheckpointDir=lambda: kept.get("at"), setCheckpointDir=lambda x: kept.update(at=x), getConf=lambda: {}, master="spark://host:7077")
+    with pytest.raises(ArgumentError):
+        _shared_folder(SimpleNamespace(sparkContext=context))
+    context.getConf = lambda: {"spark.checkpoint.dir": "hdfs://shared"}
+    assert _shared_folder(SimpleNamespace(sparkContext=context)) == "hdfs://shared"
