@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,17 +88,20 @@ def lanes(intervals: DataFrame, keys: list[str], padding: int = 0, shard_rows: i
     first = ordered.groupBy(*stretch).agg(F.min("number").alias("first"), F.count("*").alias("size"))
     ordered = ordered.join(first, stretch).withColumn("turn", F.expr(f"(number - first) div {shard_rows}")).drop("first")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in located.schema) + ", lane INT, busy_end BIGINT, is_state BOOLEAN"
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def step(key: tuple, shard: pd.DataFrame, left: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values("number", ignore_index=True)
-        busy = sorted(zip(left["busy_end"].astype("int64").tolist(), left["lane"].astype("int64").tolist(), strict=True))
-        placed = place_in_lanes(shard["start_"].tolist(), shard["end_"].tolist(), padding, busy)
-        out = shard.assign(lane=[-2 * x for x in placed], busy_end=None, is_state=False)[names]
-        if len(shard) and (shard["turn"].iloc[0] + 1) * shard_rows < shard["size"].iloc[0]:
-            open_ = pd.DataFrame(busy, columns=["busy_end", "lane"]).assign(is_state=True, **dict(zip(stretch, key, strict=True)))
-            out = pd.concat([out.astype(object), open_.reindex(columns=names).astype(object)], ignore_index=True)
-        return out.convert_dtypes()
+    names = located.columns
+
+    def step(key: tuple, shard: pa.Table, left: pa.Table) -> pa.Table:
+        shard = shard.sort_by("number")
+        busy = sorted(zip(left["busy_end"].to_pylist(), left["lane"].to_pylist(), strict=True))
+        placed = place_in_lanes(shard["start_"].to_pylist(), shard["end_"].to_pylist(), padding, busy)
+        out = shard.select(names)
+        added = {"lane": pa.array([-2 * x for x in placed], pa.int32()), "busy_end": pa.nulls(len(placed), pa.int64()), "is_state": pa.repeat(False, len(placed))}
+        for name, values in added.items():
+            out = out.append_column(name, values)
+        if (shard["turn"][0].as_py() + 1) * shard_rows >= shard["size"][0].as_py():
+            return out
+        state = dict(zip(stretch, (k.as_py() for k in key), strict=True)) | {"is_state": True}
+        return pa.concat_tables([out, pa.Table.from_pylist([state | {"busy_end": e, "lane": x} for e, x in busy], schema=out.schema)])
 
     return in_rounds(ordered, stretch, "turn", step, schema).drop("i_start_", "busy_end")
 

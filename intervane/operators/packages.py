@@ -75,21 +75,25 @@ def _divided(spots: DataFrame, large: DataFrame, overlap: int, max_cuts: int, ma
     turns = F.sequence(shard_of(reached, shard_width), F.least(shard_of(reached + 2 * overlap, shard_width), shard_of(F.col("final") - F.col("low"), shard_width)))
     rows = written(spots.join(large.select("seqname", "interval", "low", "high", "final"), ["seqname", "interval"]).withColumn("turn", F.explode(turns)))
 
-    def step(key: tuple, shard: pd.DataFrame, left: pd.DataFrame) -> pd.DataFrame:
+    columns = [c.split() for c in f"{_WINDOW}, {_OPEN}, is_state BOOLEAN".split(", ")]
+    kinds = {"STRING": pa.string(), "BIGINT": pa.int64(), "INT": pa.int32(), "BOOLEAN": pa.bool_()}
+    layout = pa.schema([(name, kinds[kind]) for name, kind in columns])
+
+    def step(key: tuple, shard: pa.Table, left: pa.Table) -> pa.Table:
         state = {"from_": None, "first": None, "cuts": 0, "locs": 0, "k": 0}
-        if len(left):
-            state = {c: None if pd.isna(left[c].iloc[0]) else int(left[c].iloc[0]) for c in state}
+        if left.num_rows:
+            state = {c: left[c][0].as_py() for c in state}
         found: list[dict] = []
-        if len(shard):
-            shard = shard.sort_values("location", ignore_index=True)
+        if shard.num_rows:
+            shard = shard.sort_by("location")
             at, upto, place = (shard[c].to_numpy() for c in ("location", "upto", "place"))
-            low, turn = int(shard["low"].iloc[0]), int(shard["turn"].iloc[0])
-            state |= {"low": low, "floor_cuts": int(upto[0] - shard["n"].iloc[0])}
+            low, turn = shard["low"][0].as_py(), shard["turn"][0].as_py()
+            state |= {"low": low, "floor_cuts": int(upto[0]) - shard["n"][0].as_py()}
             state["first"] = int(at[0]) if state["first"] is None else state["first"]
             found = window_ends(at, upto, place, _first_at(at, low + turn * shard_width), overlap, -(-max_cuts // 2), max_locs, state)
         rest = {c: state[c] for c in ("k", "from_", "first", "cuts", "locs")} | {"is_state": True}
-        out = pd.DataFrame([*({**w, "is_state": False} for w in found), rest]).reindex(columns=[c.split()[0] for c in f"{_WINDOW}, {_OPEN}, is_state".split(", ")])
-        return out.assign(seqname=key[0], interval=key[1]).convert_dtypes()
+        named = dict(zip(("seqname", "interval"), (k.as_py() for k in key), strict=True))
+        return pa.Table.from_pylist([{"is_state": False} | w | named for w in found] + [rest | named], schema=layout)
 
     passed = in_rounds(rows, ["seqname", "interval"], "turn", step, f"{_WINDOW}, {_OPEN}, is_state BOOLEAN", last_state=True)
     closed = passed.filter("start_ IS NOT NULL").drop("from_", "first", "cuts", "locs")

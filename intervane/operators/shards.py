@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,7 +67,7 @@ def numbered(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     return placed.withColumn("__part", part).join(sizes, "__part").withColumn(name, F.col("__ahead") + inside).drop("__part", "__place", "__ahead")
 
 
-def in_rounds(rows: DataFrame, keys: Sequence[str], turn: str, step: Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, last_state: bool = False) -> DataFrame:
+def in_rounds(rows: DataFrame, keys: Sequence[str], turn: str, step: Callable[[tuple, pa.Table, pa.Table], pa.Table], schema: str, last_state: bool = False) -> DataFrame:
     """Results of a sequential pass over the shards of every group; ``turn`` numbers the shards of a group from 0.
 
     ``step(key, shard, state)`` gets the rows of one shard (none if the group has
@@ -83,7 +83,7 @@ def in_rounds(rows: DataFrame, keys: Sequence[str], turn: str, step: Callable[[t
     spark = rows.sparkSession
     done, state = [], spark.createDataFrame([], schema)
     for r in range(0 if last is None else last + 1):
-        made = written(rows.filter(F.col(turn) == r).groupBy(*keys).cogroup(state.groupBy(*keys)).applyInPandas(step, schema))
+        made = written(rows.filter(F.col(turn) == r).groupBy(*keys).cogroup(state.groupBy(*keys)).applyInArrow(step, schema))
         done.append(made.filter("NOT is_state"))
         state = made.filter("is_state")
     done += [state] if last_state else []
