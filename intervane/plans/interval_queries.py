@@ -530,3 +530,4 @@ def selected_packages(spark: SparkSession, folder: str) -> DataFrame:
 
 #: SQL by query; where it is written for narrower settings, that of the query registered with those.
 SQL = {f"{name}_narrow" if f"{name}_narrow" in QUERIES else name: text for name, text in interval_sql.SQL.items()}
+SQL |= interval_sql.USUAL

@@ -138,45 +138,50 @@ once AS (SELECT DISTINCT barcode, seqname, start_, end_ FROM fragments
 ev AS (SELECT seqname, location FROM (SELECT seqname, unnest([start_, end_]) AS location FROM once) c WHERE NOT EXISTS (
   SELECT 1 FROM blacklist b WHERE b.seqname = c.seqname AND b.start_ <= c.location AND c.location <= b.end_)),
 """
-_DENSE = (
-    _NEAR.format(name="dens", keys="seqname, ")
-    + """,
-pos AS (SELECT seqname, g, CASE WHEN g - lag(g) OVER (PARTITION BY seqname ORDER BY g) <= 2000 THEN 0 ELSE 1 END AS jump FROM dens WHERE density > 2e0),
+
+def _dense(padding: int) -> str:
+    return (
+        _NEAR.format(name="dens", keys="seqname, ")
+        + f""",
+pos AS (SELECT seqname, g, CASE WHEN g - lag(g) OVER (PARTITION BY seqname ORDER BY g) <= {2 * padding} THEN 0 ELSE 1 END AS jump FROM dens WHERE density > 2e0),
 runs AS (SELECT *, sum(jump) OVER (PARTITION BY seqname ORDER BY g ROWS UNBOUNDED PRECEDING) AS run FROM pos),
 ends AS (SELECT seqname, min(location) - 1 AS low, max(location) + 1 AS high FROM ev GROUP BY seqname),
-chosen AS (SELECT r.seqname, greatest(min(low), min(g) - 1000) AS start_, least(min(high), max(g) + 1000 - 1) AS end_
+chosen AS (SELECT r.seqname, greatest(min(low), min(g) - {padding}) AS start_, least(min(high), max(g) + {padding} - 1) AS end_
            FROM runs r JOIN ends e ON r.seqname = e.seqname GROUP BY r.seqname, run),
 """
-)
+    )
+
+
 _SELECTED = "chosen AS (SELECT seqname, start_, end_ FROM peaks WHERE track = 'c1' AND seqname IS NOT NULL AND start_ IS NOT NULL AND end_ IS NOT NULL),\n"
-_WINDOWS = """
-wide AS (SELECT seqname, greatest(start_ - 500, 0) AS s, end_ + 500 AS e FROM chosen WHERE greatest(start_ - 500, 0) < end_ + 500),
+def _windows(overlap: int, cuts: int, locs: int, padding: int) -> str:
+    return f"""
+wide AS (SELECT seqname, greatest(start_ - {padding}, 0) AS s, end_ + {padding} AS e FROM chosen WHERE greatest(start_ - {padding}, 0) < end_ + {padding}),
 merge AS (SELECT *, sum(CASE WHEN s < reach THEN 0 ELSE 1 END) OVER (PARTITION BY seqname ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS label
           FROM (SELECT *, max(e) OVER (PARTITION BY seqname ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM wide)),
 regions AS (SELECT seqname, min(s) AS s, max(e) AS e FROM merge GROUP BY seqname, label),
-bounds AS (SELECT seqname, s AS interval, e, CASE WHEN s = min(s) OVER w THEN s - 300 ELSE s END AS low, CASE WHEN e = max(e) OVER w THEN e + 300 ELSE e END AS high
+bounds AS (SELECT seqname, s AS interval, e, CASE WHEN s = min(s) OVER w THEN s - {overlap * 3 // 2} ELSE s END AS low, CASE WHEN e = max(e) OVER w THEN e + {overlap * 3 // 2} ELSE e END AS high
            FROM regions WINDOW w AS (PARTITION BY seqname)),
 placed AS (SELECT b.seqname, b.interval, low, high, location, count(*) AS n FROM ev JOIN bounds b ON ev.seqname = b.seqname AND location >= b.interval AND location <= e GROUP BY ALL),
 spots AS (SELECT *, CAST(sum(n) OVER w AS BIGINT) AS upto, count(*) OVER w AS place,
-                 min(location) OVER (PARTITION BY seqname, interval ORDER BY location RANGE BETWEEN 200 PRECEDING AND CURRENT ROW) AS stop
+                 min(location) OVER (PARTITION BY seqname, interval ORDER BY location RANGE BETWEEN {overlap} PRECEDING AND CURRENT ROW) AS stop
           FROM placed WINDOW w AS (PARTITION BY seqname, interval ORDER BY location ROWS UNBOUNDED PRECEDING)),
 jumps AS (SELECT a.*, b.stop AS following, c.upto - c.n AS following_cuts, c.place - 1 AS following_locs FROM spots a
           JOIN spots b ON a.seqname = b.seqname AND a.interval = b.interval AND a.stop = b.location
           JOIN spots c ON a.seqname = c.seqname AND a.interval = c.interval AND b.stop = c.location),
 sizes AS (SELECT seqname, interval, low, high, min(location) AS a, max(location) AS z, CAST(sum(n) AS BIGINT) AS ncuts, count(*) AS nlocs,
-                 min(location) FILTER (location >= low + 200) AS inner_ FROM spots GROUP BY ALL),
+                 min(location) FILTER (location >= low + {overlap}) AS inner_ FROM spots GROUP BY ALL),
 steps AS (
-  SELECT seqname, interval, 0 AS k, a AS first, CASE WHEN large THEN inner_ ELSE low + 200 END AS from_, CAST(0 AS BIGINT) AS cuts, CAST(0 AS BIGINT) AS locs,
-         a - 1 AS last, large FROM (SELECT *, (2 * ncuts >= 40 OR nlocs >= 30) AND z >= low + 400 AS large FROM sizes)
+  SELECT seqname, interval, 0 AS k, a AS first, CASE WHEN large THEN inner_ ELSE low + {overlap} END AS from_, CAST(0 AS BIGINT) AS cuts, CAST(0 AS BIGINT) AS locs,
+         a - 1 AS last, large FROM (SELECT *, (2 * ncuts >= {cuts} OR nlocs >= {locs}) AND z >= low + {2 * overlap} AS large FROM sizes)
   UNION ALL
   SELECT seqname, interval, k + 1, x.following, x.stop, x.cuts, x.locs, x.location, true
   FROM (SELECT s.seqname, s.interval, s.k,
                min(struct_pack(location := j.location, stop := j.stop, following := j.following, cuts := j.following_cuts, locs := j.following_locs)) AS x
         FROM steps s JOIN jumps j ON s.seqname = j.seqname AND s.interval = j.interval
-        WHERE s.large AND j.location > s.last AND (2 * (j.upto - s.cuts) >= 40 OR j.place - s.locs >= 30) AND j.stop >= s.from_ + 200
+        WHERE s.large AND j.location > s.last AND (2 * (j.upto - s.cuts) >= {cuts} OR j.place - s.locs >= {locs}) AND j.stop >= s.from_ + {overlap}
         GROUP BY s.seqname, s.interval, s.k)),
 windows AS (SELECT s.seqname, s.interval, s.k, s.first AS start_, coalesce(t.last, z.z) AS end_, s.from_ AS stitch_start,
-                   coalesce(t.from_, greatest(z.high - 200, s.from_)) AS stitch_end, max(s.k) OVER (PARTITION BY s.seqname, s.interval) > 0 AS is_subdivide
+                   coalesce(t.from_, greatest(z.high - {overlap}, s.from_)) AS stitch_end, max(s.k) OVER (PARTITION BY s.seqname, s.interval) > 0 AS is_subdivide
             FROM steps s JOIN sizes z ON s.seqname = z.seqname AND s.interval = z.interval
             LEFT JOIN steps t ON s.seqname = t.seqname AND s.interval = t.interval AND t.k = s.k + 1),
 held AS (SELECT w.seqname, w.interval, k, location, n FROM windows w JOIN spots s ON w.seqname = s.seqname AND w.interval = s.interval AND location BETWEEN start_ AND end_),
@@ -187,7 +192,12 @@ made AS (SELECT w.*, ncuts, nlocs, nnz1, nnz2, round(ncuts * 1e-6 + nlocs * 2.5e
          FROM windows w JOIN counted c ON w.seqname = c.seqname AND w.interval = c.interval AND w.k = c.k
          JOIN pairs p ON w.seqname = p.seqname AND w.interval = p.interval AND w.k = p.k)
 """
-_DIVIDED = _PREP + _DENSE + _WINDOWS
+
+
+_DIVIDED = _PREP + _dense(1000) + _windows(200, 40, 30, 500)
+#: One row per sequence, from the windows alone.
+_RICHEST = """SELECT w.seqname, w.interval, w.k, nlocs, ncuts FROM windows w JOIN counted c ON w.seqname = c.seqname AND w.interval = c.interval AND w.k = c.k
+QUALIFY row_number() OVER (PARTITION BY w.seqname ORDER BY nlocs DESC, w.interval, w.k) = 1"""
 
 SQL = {
     "fragments_dedup": """SELECT fragment_id, sample, seqname, start_, end_, name, barcode, length FROM fragments
@@ -413,7 +423,7 @@ SELECT CAST(sum(covered) AS BIGINT) AS covered, CAST(sum(reach) AS BIGINT) AS re
 near AS (SELECT seqname, interval, location, count(*) OVER (o RANGE BETWEEN 199 PRECEDING AND CURRENT ROW) - 1 AS n_left,
                 count(*) OVER (o RANGE BETWEEN CURRENT ROW AND 199 FOLLOWING) - 1 AS n_right FROM spots WINDOW o AS (PARTITION BY seqname, interval ORDER BY location))
 SELECT n.* FROM near n JOIN inside i ON n.seqname = i.seqname AND n.interval = i.interval WHERE location >= a AND location < z""",
-    "selected_packages": _PREP + _SELECTED + _WINDOWS + "SELECT * FROM made",
+    "selected_packages": _PREP + _SELECTED + _windows(200, 40, 30, 500) + "SELECT * FROM made",
     "peak_shares": _MARKED
     + """, f AS (SELECT 'c1' AS track, c1_peak AS flag FROM marked UNION ALL SELECT 'c2', c2_peak FROM marked)
 SELECT track, count(*) AS n_positions, count(*) FILTER (flag) AS n_selected, round(count(*) FILTER (flag) / CAST(count(*) AS DOUBLE), 6) AS share FROM f GROUP BY track""",
@@ -474,3 +484,12 @@ modes AS (SELECT f.comp, k, CAST(floor(sum(w * n_cuts)) AS BIGINT) AS prior FROM
           ON f.workchunk = h.workchunk AND f.comp = h.comp GROUP BY f.comp, k)
 SELECT workchunk, comp, k, prior FROM bad, modes""",
 }
+
+#: SQL of queries with the usual settings whose narrow form has another.
+USUAL = {
+    "kde_intervals": SQL["kde_intervals"].replace("<= 2000 THEN", "<= 20000 THEN").replace("min(g) - 1000", "min(g) - 10000").replace("max(g) + 1000 - 1", "max(g) + 10000 - 1"),
+    "richest_packages": _PREP + _dense(10_000) + _windows(10_000, 15_000_000, 10_000_000, 5000) + _RICHEST,
+    "richest_packages_narrow": _PREP + _dense(1000) + _windows(1000, 8000, 2000, 500) + _RICHEST,
+    "interp_track": SQL["interp_track"].replace("la - location <= 2000", "la IS NOT NULL"),
+    "binned_track": SQL["binned_track"].replace("la - location <= 2000", "la IS NOT NULL"),
+}
